@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from quern.llm.common import written
 
-PIVOTS, PREFIX, NEIGHBOURS = 128, 24, 10
+PIVOTS, PREFIX, NEIGHBOURS = 256, 128, 10
 #: Of each shard, this share of its distinct vectors, and this many at least, are reranked.
 RERANK_SHARE, RERANK_LEAST = 0.1, 400
 #: Vectors of one shard, queries of one block (both bound what a task or the driver holds), pivot sample.

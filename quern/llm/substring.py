@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text is cut after every byte at which the gear hash of the bytes before it has CUT_BITS zero bits, so
-the cuts depend on at most 21 bytes of content and come back into step after an insertion. Chunks are
+the cuts depend on at most 21 bytes of content and come back into step after an insertion; chunks over
+MAX_CHUNK bytes are cut again where their hash is least, then by length. Chunks are
 told apart by digest; of each digest the first place (smallest doc_id, then position) stays, and chunks
 elsewhere are repeats. A run of repeats is removed if it holds at least min_words words; runs shorter
 than that (stock phrases, chance) stay. Digests meet through blocks.exchange, in packed rows.
@@ -45,6 +46,13 @@ def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut[ends] = True
     stops = np.flatnonzero(cut) + 1
     starts = np.concatenate([[0], stops[:-1]])
+    if (stops - starts).max() > MAX_CHUNK:
+        # Periodic text may never cut: cut long chunks wherever the hash is at its least, in every period.
+        rolling = h[at]
+        least = np.repeat(np.minimum.reduceat(rolling, starts), stops - starts)
+        cut |= np.repeat(stops - starts > MAX_CHUNK, stops - starts) & (rolling == least)
+        stops = np.flatnonzero(cut) + 1
+        starts = np.concatenate([[0], stops[:-1]])
     pieces = -(-(stops - starts) // MAX_CHUNK)
     if pieces.max() > 1:
         step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, ngram_lm, permutation_index, quality, simhash, substring, weak_rules
+from quern.llm import licenses, mixing, ngram_lm, permutation_index, quality, sampling, simhash, substring, toxicity, weak_rules
 from quern.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,12 @@ def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sampling.encode(table(spark, sf_dir, "documents"))
+    digest = F.lower(F.hex(F.xxhash64("ids")))
+    return made.select("doc_id", "sample", F.size("ids").alias("n_pieces"), digest.alias("ids_digest"), "log_prob", "perturbed", "log_inclusion", "round_trip")
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -40,17 +50,25 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
+    "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op3_weak_rules": op3_weak_rules,
     "op4_content_chunks": op4_content_chunks,
     "op5_stupid_backoff": op5_stupid_backoff,
+    "op6_gumbel_segmentations": op6_gumbel_segmentations,
     "op7_permutation_index": op7_permutation_index,
     "op8_fair_queue_mix": op8_fair_queue_mix,
     "op9_simhash_bktree": op9_simhash_bktree,
+    "op10_license_dice": op10_license_dice,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_stupid_backoff": ngram_lm.LM_SQL,
     "op8_fair_queue_mix": mixing.MIX_SQL,
+    "op10_license_dice": licenses.license_sql(),
 }

@@ -188,7 +188,11 @@ def first_of_group(docs: DataFrame, **options) -> DataFrame:
 
     Repeated rows of that doc_id: one stays. Rows without doc_id stay (they cannot be named).
     """
-    found = near_duplicates(docs, **options)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = written(near_duplicates(docs, **options).where("doc_id is not null").select("doc_id", "component_id"), "groups")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"].cast("long") == again["_again"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

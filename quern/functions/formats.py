@@ -165,8 +165,8 @@ def html_markdown(html: str) -> str:
 # --- reStructuredText --------------------------------------------------------------------------------
 
 #: Characters of title lines, and admonitions.
-TITLE_CHARS = "=-`:'\"~^_*+#<>.!$%"
-ADMONITIONS = ("note", "warning", "tip", "important", "caution", "danger", "error", "hint", "attention", "seealso")
+TITLE_CHARS = "=-`:\"~^_*#+/\\|.%?!"
+ADMONITIONS = ("note", "warning", "tip", "important", "caution", "danger", "attention", "hint", "admonition", "seealso")
 CODE_DIRECTIVES = ("code-block", "code", "sourcecode")
 _DIRECTIVE = re.compile(r"\.\.\s+([A-Za-z][\w:+.-]*?)::\s*(.*)$")
 _BULLET, _NUMBER = re.compile(r"(\s*)[-+*]\s+(.*)$"), re.compile(r"(\s*)(\d+|#)[.)]\s+(.*)$")

@@ -58,10 +58,8 @@ def _ranged(found: list[tuple[int, str, int]], total: int) -> list[dict]:
 
 
 def split_lines(text: str) -> list[str]:
-    parts = text.split("\n")
-    if parts[-1] == "":
-        parts.pop()
-    return [p[:-1] if p.endswith("\r") else p for p in parts]
+    *ended, last = text.split("\n")
+    return [p[:-1] if p.endswith("\r") else p for p in ended] + ([last] if last else [])
 
 
 _PY_ITEM = re.compile(r"([ \t]*)(class|(?:async\s+)?def)\s+([^(#]*)")

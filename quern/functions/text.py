@@ -17,10 +17,10 @@ _BLANKS = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\
 
 
 def lines(text: Column) -> Column:
-    """Lines split at \\n, each without one trailing \\r; no empty line after a final \\n; '' has none."""
+    """Lines end at \\n or \\r\\n; no empty line after a final end; '' has none; another \\r is kept."""
     parts = F.split(text, "\n", -1)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(whole, lambda x: F.regexp_replace(x, "\r$", ""))
+    bare = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.regexp_replace(x, "\r\\z", "")).otherwise(x))
+    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(bare, 1, F.size(bare) - 1)).otherwise(bare)
 
 
 def line_count(text: Column) -> Column:

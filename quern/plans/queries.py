@@ -192,7 +192,7 @@ def ext_histogram(spark, sf_dir):
     return corpus(spark, sf_dir).groupBy("extension").agg(F.count("*").alias("files"), F.max("modified").cast("timestamp_ntz").alias("newest"))
 
 
-_LINES = r"case when text = '' then [] when right(text, 1) = chr(10) then list_transform(string_split(text, chr(10))[:-2], lambda l: regexp_replace(l, '\r$', '')) else list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '\r$', '')) end"
+_LINES = r"case when text = '' then [] when right(text, 1) = chr(10) then list_transform(string_split(text, chr(10))[:-2], lambda l: regexp_replace(l, '\r$', '')) else list_transform(string_split(text, chr(10))[:-2], lambda l: regexp_replace(l, '\r$', '')) || string_split(text, chr(10))[-1:] end"
 
 
 @query("line_count", f"with {_DOCS} select path, len({_LINES})::int as line_count from docs")

@@ -19,7 +19,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +115,7 @@ class Lattices:
         step = np.concatenate([np.ones(len(lone), np.int64), *(np.full(len(f[0]), f[2]) for f in found)])
         octets = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
         score = np.concatenate([octets * v.byte_score, *(v.score[f[1]] for f in found)])
-        order = np.lexsort((step, source))
+        order = np.argsort(source * (length + 1) + step)  # no two are equal
         source, self.piece, step, score = node[source[order]], piece[order], step[order], score[order]
         self.target = source + step
         nodes = len(code) + len(units)
@@ -129,6 +131,11 @@ class Lattices:
             top = np.maximum.reduceat(value, starts)
             beta[these] = top + np.log(np.add.reduceat(np.exp(value - top[of]), starts))
         self.logp = score + beta[self.target] - beta[source]
+        #: Node plus the chance of its edges so far: one binary search finds the edge that a uniform number chooses.
+        chance = np.cumsum(np.exp(self.logp))
+        before = np.concatenate([[0.0], chance])[self.first[source]]
+        self.chosen_below = source + np.minimum(chance - before, 1.0)
+        self.chosen_below[self.first[self.count > 0] + self.count[self.count > 0] - 1] = np.flatnonzero(self.count) + 1.0
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,73 +167,83 @@ class _Path:
         self.unit, self.edge, self.phi, self.bound = unit, edge, phi, bound
 
 
+#: The largest Gumbel noise that _uniform's 53 bits can give.
+_MOST_NOISE = 37.5
+
+
+def _gumbel(key: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(_uniform(key)))
+
+
 def _descend(lat: Lattices, doc: np.ndarray, unit: np.ndarray, node: np.ndarray, start_phi: np.ndarray, bound: np.ndarray, key: np.ndarray, keep: int):
     """Open one path in each document from (doc, unit, node) rows, sorted by doc and unit.
 
-    start_phi, bound, key: per document. Returns the steps (doc, unit, edge, phi after it), sorted, and
-    per document its best `keep` siblings (bound, unit, edge, phi after it).
+    start_phi, bound, key: per document. Of a node's continuations the one that keeps the bound is drawn
+    by its chance; the others' bounds are Gumbel noise about their log-probability, truncated at the
+    node's bound. Returns the steps (doc, unit, edge, log-probability after it), in order, and per
+    document its `keep` best siblings. Siblings whose largest possible bound is below those are not drawn.
     """
     u64 = np.uint64
-    steps: list[tuple[np.ndarray, ...]] = []
-    sibs: list[tuple[np.ndarray, ...]] = []
-    row, cur, n_steps = np.arange(len(node)), node, 0
+    docs = len(start_phi)
+    row, cur = np.arange(len(node)), node
     row_key = mixed64(key[doc] + unit.astype(u64) * u64(0x9E3779B97F4A7C15))
+    taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(row):
-        count = lat.count[cur]
-        if not count.all():
-            alive = count > 0
-            row, cur, count = row[alive], cur[alive], count[alive]
-            if not len(row):
-                break
-        edge, offset, owner = _spread(lat.first[cur], count)
-        # The noise of an edge depends on the document, the unit, and the edge's place in the unit's lattice.
-        place = lat.target[edge] - np.repeat(node[row], count)
-        start = np.repeat(cur - node[row], count)
-        noise = _uniform(row_key[row][owner] + place.astype(u64) * u64(0xD1B54A32D192ED03) + start.astype(u64) * u64(0xABC98388FB8FAC03))
-        value = lat.logp[edge] - np.log(-np.log(noise))
-        top = np.maximum.reduceat(value, offset)
-        best = value == top[owner]
-        chosen = edge[best]
-        if len(chosen) != len(row):  # equal doubles: the first counts
-            where = np.flatnonzero(best)
-            _, first = np.unique(owner[where], return_index=True)
-            best = np.zeros(len(edge), bool)
-            best[where[first]] = True
-            chosen = edge[best]
-        steps.append((row, chosen, top))
-        other = ~best
-        sibs.append((owner[other] + n_steps, edge[other], value[other]))
-        n_steps += len(row)
-        cur = lat.target[chosen]
-    rows, edges, tops = (np.concatenate([s[i] for s in steps]) if steps else np.zeros(0, np.int64) for i in range(3))
+        alive = lat.count[cur] > 0
+        if not alive.all():
+            row, cur = row[alive], cur[alive]
+        if len(row):
+            u = _uniform(row_key[row] + (cur - node[row]).astype(u64) * u64(0xD1B54A32D192ED03))
+            edge = np.searchsorted(lat.chosen_below, cur + u, side="right")
+            edge = np.clip(edge, lat.first[cur], lat.first[cur] + lat.count[cur] - 1)
+            taken.append((row, cur, edge))
+            cur = lat.target[edge]
+    if not taken:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0), [[] for _ in range(docs)]
+    rows, at, edges = (np.concatenate([t[i] for t in taken]) for i in range(3))
     order = np.argsort(rows, kind="stable")  # within a row, steps came in order
-    rows, edges, tops = rows[order], edges[order], tops[order]
-    logp = lat.logp[edges]
+    rows, at, edges = rows[order], at[order], edges[order]
+    d, logp = doc[rows], lat.logp[edges]
     run = np.cumsum(logp)
-    d = doc[rows]
-    docs = len(start_phi)
     cuts = np.searchsorted(d, np.arange(docs))
-    before = np.where(cuts > 0, run[np.minimum(cuts, len(run)) - 1], 0.0) if len(run) else np.zeros(docs)
-    phi = run - before[d] + start_phi[d]
+    phi = run - np.concatenate([[0.0], run])[cuts][d] + start_phi[d]
     prefix = phi - logp
-    # Conditional Gumbel: siblings' bounds given that the largest is the path's.
-    s_step, s_edge, s_value = (np.concatenate([s[i] for s in sibs]) if sibs else np.zeros(0, np.int64) for i in range(3))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    s_step = back[s_step]
-    s_doc = d[s_step]
-    g = prefix[s_step] + s_value
-    z = prefix[s_step] + tops[s_step]
-    v = bound[s_doc] - g + np.log1p(-np.exp(np.minimum(g - z, -1e-12)))
-    s_bound = bound[s_doc] - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
-    rank = np.lexsort((-s_bound, s_doc))
-    first = np.searchsorted(s_doc[rank], np.arange(docs))
-    place = np.arange(len(rank)) - first[s_doc[rank]]
-    few = rank[place < keep]
+
+    def bounds(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(step, edge, log-probability, bound) of the steps' siblings."""
+        edge, _, of = _spread(lat.first[at[steps]], lat.count[at[steps]])
+        step = steps[of]
+        other = edge != edges[step]
+        edge, step = edge[other], step[other]
+        p = prefix[step] + lat.logp[edge]
+        r = rows[step]
+        noise = _gumbel(row_key[r] + (at[step] - node[r]).astype(u64) * u64(0xABC98388FB8FAC03) + (lat.target[edge] - at[step]).astype(u64) * u64(0x8CB92BA72F3D8DD7) + u64(1))
+        return step, edge, p, -np.logaddexp(-bound[d[step]], -(p + noise))
+
+    def best(found) -> tuple[np.ndarray, np.ndarray]:
+        """Places of each document's `keep` best, and the last one's bound (-inf if there are fewer)."""
+        left, of, places = found[3].copy(), d[found[0]], []
+        for _ in range(keep):
+            top = np.full(docs, -np.inf)
+            np.maximum.at(top, of, left)
+            here = np.flatnonzero((left == top[of]) & (left > -np.inf))
+            _, first = np.unique(of[here], return_index=True)
+            places.append(here[first])
+            left[here[first]] = -np.inf
+        return np.concatenate(places), top
+
+    several = lat.count[at] > 1
+    likely = several & (prefix - start_phi[d] > -8)
+    found = bounds(np.flatnonzero(likely))
+    places, least = best(found)
+    more = np.flatnonzero(several & ~likely & (prefix + _MOST_NOISE > least[d]))
+    if len(more):
+        found = tuple(np.concatenate([x[places], y]) for x, y in zip(found, bounds(more)))
+        places, _ = best(found)
     siblings: list[list[tuple[float, int, int, float, int]]] = [[] for _ in range(docs)]
-    for k in few:
-        t = s_step[k]
-        siblings[s_doc[k]].append((-float(s_bound[k]), int(unit[rows[t]]), int(s_edge[k]), float(prefix[t] + lat.logp[s_edge[k]]), int(t - cuts[s_doc[k]])))
+    for step, edge, p, b in zip(*(x[places].tolist() for x in found)):
+        siblings[d[step]].append((-b, int(unit[rows[step]]), edge, p, step - int(cuts[d[step]])))
     return d, unit[rows], edges, phi, siblings
 
 
@@ -238,12 +255,12 @@ def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, sam
     (1 if nothing is left out): -log of it weighs a sample in estimates.
     """
     units = [units_of(t) for t in texts]
-    number: dict[str, int] = {}
-    numbered = [np.fromiter((number.setdefault(u, len(number)) for u in us), np.int64, len(us)) for us in units]
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    numbered = [np.array(list(map(number.__getitem__, us)), np.int64) for us in units]
     lat = Lattices(list(number), v)
     starts = [lat.base[x] for x in numbered]
     n = len(texts)
-    bound0 = -np.log(-np.log(_uniform(mixed64(seeds))))
+    bound0 = _gumbel(mixed64(seeds))
     sizes = np.array([len(s) for s in starts], np.int64)
     doc = np.repeat(np.arange(n), sizes)
     unit = np.concatenate([np.arange(s) for s in sizes]) if n else np.zeros(0, np.int64)

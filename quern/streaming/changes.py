@@ -64,7 +64,8 @@ def debounced(changes: DataFrame, quiet: str = QUIET, late: str | None = None) -
     rows = changes.where("kind = 'Modified'")
     if late is not None:
         rows = rows.withWatermark("ts", late)
-    bursts = rows.groupBy("path", F.session_window("ts", quiet)).agg(F.max("ts").alias("ts"), F.count("*").alias("merged"))
+    # Sessions meet if one starts where another ends, so the gap is a microsecond short of the quiet time.
+    bursts = rows.groupBy("path", F.session_window("ts", f"{quiet} -1 microseconds")).agg(F.max("ts").alias("ts"), F.count("*").alias("merged"))
     return bursts.select("path", F.lit("Modified").alias("kind"), "ts", "merged")
 
 

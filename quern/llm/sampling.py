@@ -19,14 +19,13 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from quern.llm.blocks import mixed64
 from quern.llm.common import doc_texts
@@ -48,6 +47,10 @@ class Vocabulary:
         self.byte_ids = byte_ids
         self.text_of = {i: p.replace(SPACE, " ").encode("utf-8") for p, i in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.score = np.zeros(max(self.text_of) + 1)
+        spelled = [self.text_of.get(i, b"") for i in range(len(self.score))]
+        self.sizes = np.array([len(b) for b in spelled], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.octets = np.frombuffer(b"".join(spelled), np.uint8)
         first = min(self.text_of)
         for _, i in pieces:
             self.score[i] = -POWER * math.log(i - first + SHIFT)
@@ -62,8 +65,30 @@ class Vocabulary:
             for k, x in zip(at, h[at].tolist()):
                 hashes[x] = pieces[k][1] if len(code[k]) == n else hashes.get(x, -1)
             at = at[[len(code[k]) > n for k in at]]
-        self.prefix = np.array(sorted(hashes), np.uint64)
-        self.piece = np.array([hashes[x] for x in self.prefix.tolist()], np.int64)
+        # Two hash tables: what finds its place in the first taken goes to the second, which is searched.
+        found, piece = np.array(list(hashes), np.uint64), np.array(list(hashes.values()), np.int64)
+        self.shift = np.uint64(64 - max(8, 4 + len(found).bit_length()))
+        slot = (found >> self.shift).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.table, self.table_piece = np.zeros(1 << (64 - int(self.shift)), np.uint64), np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.table[slot[first]], self.table_piece[slot[first]] = found[first], piece[first]
+        rest = np.setdiff1d(np.arange(len(found)), first)
+        rest = rest[np.argsort(found[rest])]
+        self.others, self.others_piece = np.append(found[rest], np.uint64(2**64 - 1)), np.append(piece[rest], -1)
+        self.crowded = np.zeros(len(self.table), bool)
+        self.crowded[slot[rest]] = True
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is of the beginning of a piece, and the piece that it is of, or -1."""
+        slot = (h >> self.shift).astype(np.int64)
+        alive = self.table[slot] == h
+        piece = np.where(alive, self.table_piece[slot], -1)
+        again = np.flatnonzero(~alive & self.crowded[slot])
+        if len(again):
+            where = np.searchsorted(self.others, h[again])
+            hit = self.others[where] == h[again]
+            alive[again[hit]], piece[again[hit]] = True, self.others_piece[where[hit]]
+        return alive, piece
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
@@ -87,23 +112,21 @@ class Lattices:
     is the beginning of some piece. logp is an edge's score given its node, from the backward sums.
     """
 
-    def __init__(self, units: list[str], v: Vocabulary):
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        owner = np.repeat(np.arange(len(units)), sizes)
-        node = np.arange(len(code)) + owner  # one node more at the end of each unit
-        self.base = np.cumsum(sizes + 1) - (sizes + 1)
-        left = np.repeat(self.base + sizes, sizes) - node
+    def __init__(self, v: Vocabulary, units):
+        fresh = list(units)
+        code = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        node = np.arange(len(code)) + np.repeat(np.arange(len(fresh)), sizes)  # one node more at the end of each unit
+        base = np.cumsum(sizes + 1) - (sizes + 1)
+        left = np.repeat(base + sizes, sizes) - node
         at, h, length = np.arange(len(code)), np.zeros(len(code), np.uint64), 0
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
         single = np.zeros(len(code), bool)
         while len(at):
             h = _roll(h, code[at + length])
             length += 1
-            where = np.minimum(np.searchsorted(v.prefix, h), len(v.prefix) - 1)
-            alive = v.prefix[where] == h
-            piece = v.piece[where]
-            whole = alive & (piece >= 0)
+            alive, piece = v.look_up(h)
+            whole = piece >= 0
             found.append((at[whole], piece[whole], length))
             if length == 1:
                 single[at[whole]] = True
@@ -115,27 +138,41 @@ class Lattices:
         step = np.concatenate([np.ones(len(lone), np.int64), *(np.full(len(f[0]), f[2]) for f in found)])
         octets = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
         score = np.concatenate([octets * v.byte_score, *(v.score[f[1]] for f in found)])
-        order = np.argsort(source * (length + 1) + step)  # no two are equal
-        source, self.piece, step, score = node[source[order]], piece[order], step[order], score[order]
-        self.target = source + step
-        nodes = len(code) + len(units)
-        self.count = np.bincount(source, minlength=nodes)
-        self.first = np.cumsum(self.count) - self.count
+        order = np.argsort(source * (length + 1) + (length - step))  # long pieces, the likely ones, first; no two are equal
+        source, step, score = node[source[order]], step[order], score[order]
+        target = source + step
+        nodes = len(code) + len(fresh)
+        counts = np.bincount(source, minlength=nodes)
+        first = np.cumsum(counts) - counts
         beta = np.zeros(nodes)
         by_left = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_left], np.arange(1, (int(left.max()) if len(left) else 0) + 2))
         for a, b in zip(cuts, cuts[1:]):
             these = node[by_left[a:b]]
-            edge, starts, of = _spread(self.first[these], self.count[these])
-            value = score[edge] + beta[self.target[edge]]
+            edge, starts, of = _spread(first[these], counts[these])
+            value = score[edge] + beta[target[edge]]
             top = np.maximum.reduceat(value, starts)
             beta[these] = top + np.log(np.add.reduceat(np.exp(value - top[of]), starts))
-        self.logp = score + beta[self.target] - beta[source]
-        #: Node plus the chance of its edges so far: one binary search finds the edge that a uniform number chooses.
-        chance = np.cumsum(np.exp(self.logp))
-        before = np.concatenate([[0.0], chance])[self.first[source]]
-        self.chosen_below = source + np.minimum(chance - before, 1.0)
-        self.chosen_below[self.first[self.count > 0] + self.count[self.count > 0] - 1] = np.flatnonzero(self.count) + 1.0
+        logp = score + beta[target] - beta[source]
+        # The chance of a node's edges up to each one; the last takes what is left.
+        upto = np.exp(logp)
+        some = np.flatnonzero(counts > 1)
+        for k in range(1, int(counts.max(initial=0))):
+            some = some[counts[some] > k]
+            upto[first[some] + k] += upto[first[some] + k - 1]
+        upto[(first + counts - 1)[counts > 0]] = np.inf
+        self.first, self.count = first, counts
+        self.target, self.piece, self.logp, self.upto = target, piece[order], logp, upto
+        self.base = dict(zip(fresh, base.tolist()))
+
+    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge that a uniform number chooses at each node."""
+        edge = self.first[node]
+        left = np.flatnonzero(u > self.upto[edge])
+        while len(left):
+            edge[left] += 1
+            left = left[u[left] > self.upto[edge[left]]]
+        return edge
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,8 +231,7 @@ def _descend(lat: Lattices, doc: np.ndarray, unit: np.ndarray, node: np.ndarray,
             row, cur = row[alive], cur[alive]
         if len(row):
             u = _uniform(row_key[row] + (cur - node[row]).astype(u64) * u64(0xD1B54A32D192ED03))
-            edge = np.searchsorted(lat.chosen_below, cur + u, side="right")
-            edge = np.clip(edge, lat.first[cur], lat.first[cur] + lat.count[cur] - 1)
+            edge = lat.choose(cur, u)
             taken.append((row, cur, edge))
             cur = lat.target[edge]
     if not taken:
@@ -248,6 +284,11 @@ def _descend(lat: Lattices, doc: np.ndarray, unit: np.ndarray, node: np.ndarray,
 
 
 def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, samples: int) -> list[list[tuple[list[int], float, float, float]]]:
+    """sample_paths() with lists for arrays."""
+    return [[(p.tolist(), *rest) for p, *rest in rows] for rows in sample_paths(v, texts, seeds, samples)]
+
+
+def sample_paths(v: Vocabulary, texts: list[str], seeds: np.ndarray, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text, up to `samples` distinct (edges' pieces, log-probability, perturbed score, log inclusion).
 
     A text with fewer segmentations than `samples` gives all it has; the empty text has one, of no piece.
@@ -255,10 +296,8 @@ def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, sam
     (1 if nothing is left out): -log of it weighs a sample in estimates.
     """
     units = [units_of(t) for t in texts]
-    number: defaultdict[str, int] = defaultdict(count().__next__)
-    numbered = [np.array(list(map(number.__getitem__, us)), np.int64) for us in units]
-    lat = Lattices(list(number), v)
-    starts = [lat.base[x] for x in numbered]
+    lat = Lattices(v, set().union(*units))
+    starts = [np.array(list(map(lat.base.__getitem__, us)), np.int64) for us in units]
     n = len(texts)
     bound0 = _gumbel(mixed64(seeds))
     sizes = np.array([len(s) for s in starts], np.int64)
@@ -315,23 +354,28 @@ def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, sam
             else:
                 x = logp - left_out
                 inclusion = math.log(-math.expm1(-math.exp(x))) if x > -30 else x
-            rows.append((lat.piece[path.edge].tolist(), logp, path.bound, min(inclusion, 0.0)))
+            rows.append((lat.piece[path.edge], logp, path.bound, min(inclusion, 0.0)))
         out.append(rows)
     return out
 
 
+def expanded(pieces: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary ids, how many stand for each piece): steps over a character without a piece become its bytes."""
+    sizes = np.ones(len(pieces), np.int64)
+    lone = np.flatnonzero(pieces < 0)
+    codes, which = np.unique(-pieces[lone] - 1, return_inverse=True)
+    spelled = [(SPACE if chr(c) == _STAND_IN else chr(c)).encode("utf-8", "surrogatepass") for c in codes]
+    sizes[lone] = np.array([len(b) for b in spelled], np.int64)[which]
+    ids = np.repeat(pieces, sizes)
+    at = (np.cumsum(sizes) - sizes)[lone]
+    for k, octets in enumerate(spelled):
+        for n, b in enumerate(octets):
+            ids[at[which == k] + n] = v.byte_ids[b]
+    return ids, sizes
+
+
 def piece_ids(pieces: list[int], v: Vocabulary) -> list[int]:
-    """Vocabulary ids; steps over a character without a piece become its bytes."""
-    if not pieces or min(pieces) >= 0:
-        return pieces
-    out: list[int] = []
-    for p in pieces:
-        if p >= 0:
-            out.append(p)
-        else:
-            c = chr(-p - 1)
-            out += [v.byte_ids[b] for b in (SPACE if c == _STAND_IN else c).encode("utf-8", "surrogatepass")]
-    return out
+    return expanded(np.array(pieces, np.int64), v)[0].tolist()
 
 
 #: A literal U+2581 in a text would read as a blank; it goes through the lattice as a lone surrogate,
@@ -345,9 +389,16 @@ def _shown(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
 
+def octets_of(ids: np.ndarray, v: Vocabulary) -> tuple[bytes, np.ndarray]:
+    """(the bytes of all ids, joined; how many are of each)."""
+    sizes = v.sizes[ids]
+    starts = np.cumsum(sizes) - sizes
+    return v.octets[np.repeat(v.starts[ids] - starts, sizes) + np.arange(int(sizes.sum()))].tobytes(), sizes
+
+
 def decoded(ids: list[int], v: Vocabulary) -> str:
     """The text of vocabulary ids: pieces' bytes joined, without the blank put before the text."""
-    text = b"".join(map(v.text_of.__getitem__, ids)).decode("utf-8", "replace")
+    text = octets_of(np.array(ids, np.int64), v)[0].decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -378,13 +429,21 @@ def encode(docs: DataFrame, model_file: str = MODEL, samples: int = SAMPLES, see
 
         def work(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
             seeds = np.array([_seed(i, t, seed) for i, t in rows], np.uint64)
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for (doc_id, text), got in zip(rows, sample_segmentations(v, [_shown(t) for _, t in rows], seeds, samples)):
-                for k, (pieces, logp, perturbed, inclusion) in enumerate(got):
-                    ids = piece_ids(pieces, v)
-                    for c, x in zip(cols, (doc_id, k + 1, ids, logp, perturbed, inclusion, decoded(ids, v) == text)):
-                        c.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(cols)], schema=schema)
+            paths = sample_paths(v, [_shown(t) for _, t in rows], seeds, samples)
+            of = [i for i, got in enumerate(paths) for _ in got]
+            each = [p for got in paths for p in got]
+            pieces = np.concatenate([p[0] for p in each])
+            ends = np.cumsum([len(p[0]) for p in each])
+            ids, sizes = expanded(pieces, v)
+            offsets = np.concatenate([[0], np.cumsum(sizes)[ends - 1]]).astype(np.int32)
+            octets, widths = octets_of(ids, v)
+            cuts = np.concatenate([[0], np.cumsum(widths)])[offsets]
+            whole = [(" " + t).encode("utf-8", "surrogatepass") for _, t in rows]
+            same = [octets[a:b] == whole[i] for i, a, b in zip(of, cuts[:-1].tolist(), cuts[1:].tolist())]
+            return pa.RecordBatch.from_arrays([
+                pa.array([rows[i][0] for i in of], pa.int64()), pa.array([k + 1 for got in paths for k in range(len(got))], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), *(pa.array([p[k] for p in each], pa.float64()) for k in (1, 2, 3)), pa.array(same),
+            ], schema=schema)
 
         held, chars = [], 0
         for x in batches:
@@ -411,4 +470,4 @@ def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
             texts = [None if ids is None else decoded(ids, vocabulary.value) for ids in x.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(texts, pa.string())], names=[*x.schema.names, "text"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("text", "string"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))

@@ -240,8 +240,8 @@ def every_path(lat, node):
 
 def test_lattice_is_whole_and_normalised(vocabulary):
     unit = "▁banana"
-    lat = sampling.Lattices([unit], vocabulary)
-    paths = every_path(lat, lat.base[0])
+    lat = sampling.Lattices(vocabulary, [unit])
+    paths = every_path(lat, next(iter(lat.base.values())))
     assert math.isclose(sum(math.exp(s) for _, s in paths), 1, rel_tol=1e-9)
     assert {"".join(vocabulary.text_of[i].decode() for i in p) for p, _ in paths} == {" banana"}
     pieces = {t.decode() for t in vocabulary.text_of.values() if len(t) > 0 and not t[0] & 0x80}
@@ -254,8 +254,8 @@ def test_samples_follow_the_lattice(vocabulary, monkeypatch):
     flat.score = flat.score * 0.1
     flat.byte_score *= 0.1
     text, n = sampling._shown("aba"), 6000
-    lat = sampling.Lattices([text], flat)
-    p = {path: math.exp(s) for path, s in every_path(lat, lat.base[0])}
+    lat = sampling.Lattices(flat, [text])
+    p = {path: math.exp(s) for path, s in every_path(lat, next(iter(lat.base.values())))}
     got = sampling.sample_segmentations(flat, [text] * n, np.arange(n, dtype=np.uint64) * np.uint64(104729), 2)
     assert all(len(g) == 2 and g[0][0] != g[1][0] and g[0][2] >= g[1][2] for g in got)
     first, second = (Counter(tuple(g[k][0]) for g in got) for k in range(2))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, and of text for each hash partition.
 BATCH_BYTES, PARTITION_BYTES = 4 << 20, 4 << 20
+#: The column that deals documents to batches; a table's own column of this name would clash, so it is long.
+BATCH = "_quern_batch"
 #: Bytes of a key that are sent besides the bits that choose its partition.
 KEY_BYTES = 6
 
@@ -70,7 +72,7 @@ class Texts:
         none = np.zeros(0, np.int64)
         if not len(self.data):
             return none, none, none
-        inside = ~_BLANK[self.data]
+        inside = ~BLANK[self.data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         at = self.offsets[:-1][self.offsets[:-1] < len(self.data)]
@@ -81,14 +83,14 @@ class Texts:
         return starts, lengths, np.searchsorted(self.offsets, starts, side="right") - 1
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def batched(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """docs with a column _batch, dealt by the hash of doc_id and text."""
+    """docs with a column BATCH, dealt by the hash of doc_id and text."""
     n = max(1, -(-total_bytes // BATCH_BYTES))
-    return docs.withColumn("_batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return docs.withColumn(BATCH, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def partition_bits(total_bytes: int) -> int:
@@ -108,8 +110,8 @@ def unpack(blob: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-REQUEST = pa.schema([("_batch", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
-ANSWER = pa.schema([("_batch", pa.int32()), ("part", pa.int64()), ("answers", pa.binary())])
+REQUEST = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
+ANSWER = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("answers", pa.binary())])
 
 
 def requests(batch: int, keys: np.ndarray, vals: np.ndarray, bits: int) -> pa.Table:
@@ -130,7 +132,7 @@ def exchange(
     docs: DataFrame, bits: int, ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], join: Callable[[np.ndarray, np.ndarray], np.ndarray],
     value: str, finish: Callable[[pa.Table, bytes], pa.Table], out_schema,
 ) -> DataFrame:
-    """docs (with _batch) -> finish's rows.
+    """docs (with BATCH) -> finish's rows.
 
     ask(batch of docs) gives distinct ascending keys and a value (numpy type `value`) for each;
     join(ids, values), over the entries of all batches in one hash partition, with ids telling equal
@@ -139,7 +141,7 @@ def exchange(
 
     def send(x: pa.Table) -> pa.Table:
         keys, vals = ask(x)
-        return requests(x.column("_batch")[0].as_py(), keys, vals, bits)
+        return requests(x.column(BATCH)[0].as_py(), keys, vals, bits)
 
     def meet(x: pa.Table) -> pa.Table:
         blobs = x.column("keys").to_pylist()
@@ -148,12 +150,12 @@ def exchange(
         answers = join(ids, np.frombuffer(b"".join(x.column("vals").to_pylist()), value))
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         packed = [answers[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.Table.from_arrays([x.column("_batch"), x.column("part"), pa.array(packed, pa.binary())], schema=ANSWER)
+        return pa.Table.from_arrays([x.column(BATCH), x.column("part"), pa.array(packed, pa.binary())], schema=ANSWER)
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
         return finish(left, b"".join(right.column("answers").to_pylist()))
 
-    asked = docs.groupBy("_batch").applyInArrow(send, "_batch int, part long, keys binary, vals binary")
-    answered = asked.groupBy("part").applyInArrow(meet, "_batch int, part long, answers binary")
-    return docs.groupBy("_batch").cogroup(answered.groupBy("_batch")).applyInArrow(end, out_schema)
+    asked = docs.groupBy(BATCH).applyInArrow(send, f"{BATCH} int, part long, keys binary, vals binary")
+    answered = asked.groupBy("part").applyInArrow(meet, f"{BATCH} int, part long, answers binary")
+    return docs.groupBy(BATCH).cogroup(answered.groupBy(BATCH)).applyInArrow(end, out_schema)

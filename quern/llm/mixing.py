@@ -20,7 +20,7 @@ from quern.llm.common import n_words, written
 
 WEIGHTS, SHARE_PERCENT, MAX_COPIES = (3, 1, 2), 150, 2
 #: Rows that one range holds on average; ranges are told apart by hex digits of the shuffle key.
-RANGE_ROWS, SEED = 10_000, "mix-1"
+RANGE_ROWS, SEED = 2_000, "mix-1"
 
 
 def _sizes(docs: DataFrame, seed: str) -> DataFrame:

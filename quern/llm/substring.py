@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import _BLANK, Texts, batched, exchange, hash_spans, partition_bits
+from quern.llm.blocks import BLANK, BATCH, Texts, batched, exchange, hash_spans, partition_bits
 from quern.llm.common import doc_texts
 
 #: A cut where CUT_BITS bits from bit WINDOW - 1 on are zero: chunks of 2^CUT_BITS bytes on average.
@@ -89,11 +89,11 @@ class Batch:
         """Which chunks are repeats, given for each key whether its first place is in another batch."""
         return ~self.is_first | elsewhere[self.key_of]
 
-    def runs(self, repeated: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, stop, document, words) of the runs of repeats that go, in bytes, ending at word bounds."""
+    def runs(self, repeated: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+        """(start, stop, document, words, chunks) of the runs of repeats that go; start and stop in bytes, at word bounds."""
         none = np.zeros(0, np.int64)
         if not repeated.any():
-            return none, none, none, none
+            return none, none, none, none, none
         edge = np.diff(self.document, prepend=-1) != 0
         opens = repeated & (edge | ~np.concatenate([[False], repeated[:-1]]))
         closes = repeated & (np.append(edge[1:], True) | ~np.append(repeated[1:], False))
@@ -104,8 +104,9 @@ class Batch:
         # Words that lie whole inside the run.
         a, b = np.searchsorted(words, start), np.searchsorted(ends, last, side="right")
         fits = b - a >= min_words
+        chunks_of = np.flatnonzero(closes) - np.flatnonzero(opens) + 1
         a, b, document = a[fits], b[fits], document[fits]
-        return words[a], ends[b - 1], document, b - a
+        return words[a], ends[b - 1], document, b - a, chunks_of[fits]
 
 
 def _spans(docs: DataFrame, min_words: int, build, out_schema) -> DataFrame:
@@ -124,13 +125,13 @@ def _spans(docs: DataFrame, min_words: int, build, out_schema) -> DataFrame:
     def finish(x: pa.Table, answers: bytes) -> pa.Table:
         batch = Batch(x)
         repeated = batch.repeated(np.frombuffer(answers, np.uint8).astype(bool))
-        return build(x, batch, repeated, batch.runs(repeated, min_words))
+        return build(x, batch, batch.runs(repeated, min_words))
 
     return exchange(batched(docs, size), partition_bits(size), ask, join, "i8", finish, out_schema)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_chunks, repeated_chunks, removed_words, spans, kept_chars.
+    """One row per document: doc_id, has_repeats, n_chunks, removed_chunks, removed_words, spans, kept_chars.
 
     spans: array of (start, stop) in code points, stop excluded, the parts of the text that repeat an
     earlier place (of a smaller doc_id, or further up). A null or empty text has no chunks and no spans;
@@ -138,8 +139,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows; other columns are ignored.
     """
 
-    def build(x: pa.Table, batch: Batch, repeated: np.ndarray, runs) -> pa.Table:
-        start, stop, document, words = runs
+    def build(x: pa.Table, batch: Batch, runs) -> pa.Table:
+        start, stop, document, words, in_run = runs
         rows = x.num_rows
         count = lambda d, w=None: np.bincount(d, weights=w, minlength=rows).astype(np.int64)
         lead = np.concatenate([[0], np.cumsum((batch.texts.data & 0xC0) != 0x80)])
@@ -151,11 +152,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             gone[d] += b - a
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.Table.from_arrays([
-            x.column("doc_id"), pa.array(count(batch.document)), pa.array(count(batch.document[repeated])),
+            x.column("doc_id"), pa.array([bool(s) for s in spans]), pa.array(count(batch.document)), pa.array(count(document, in_run)),
             pa.array(count(document, words)), pa.array(spans, kind), pa.array(chars - gone),
-        ], names=["doc_id", "n_chunks", "repeated_chunks", "removed_words", "spans", "kept_chars"])
+        ], names=["doc_id", "has_repeats", "n_chunks", "removed_chunks", "removed_words", "spans", "kept_chars"])
 
-    schema = "doc_id long, n_chunks long, repeated_chunks long, removed_words long, spans array<struct<start:long,stop:long>>, kept_chars long"
+    schema = "doc_id long, has_repeats boolean, n_chunks long, removed_chunks long, removed_words long, spans array<struct<start:long,stop:long>>, kept_chars long"
     return _spans(doc_texts(docs), min_words, build, schema)
 
 
@@ -167,9 +168,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     names = docs.columns
 
-    def build(x: pa.Table, batch: Batch, repeated: np.ndarray, runs) -> pa.Table:
-        x = x.drop_columns(["_batch"])
-        start, stop, document, _ = runs
+    def build(x: pa.Table, batch: Batch, runs) -> pa.Table:
+        x = x.drop_columns([BATCH])
+        start, stop, document, *_ = runs
         if not len(start):
             return x
         texts = x.column("text").to_pylist()
@@ -179,7 +180,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kept, at = [], int(offsets[d])
             for k in np.flatnonzero(document == d):
                 end = int(start[k])
-                while end > at and _BLANK[data[end - 1]]:
+                while end > at and BLANK[data[end - 1]]:
                     end -= 1
                 kept.append(data[at:end].tobytes())
                 at = int(stop[k])

@@ -422,3 +422,78 @@ def py_outline(spark, sf_dir):
 def rust_outline(spark, sf_dir):
     lines = F.transform(text.lines(F.col("text")), lambda x, i: F.concat(F.when(i % 3 == 0, F.lit("impl ")).when(i % 3 == 1, F.lit("    pub fn ")).otherwise(F.lit("} // ")), F.regexp_replace(x, "\\W+", "_"), F.when(i % 3 == 2, F.lit("")).otherwise(F.lit("() {"))))
     return corpus(spark, sf_dir).select("path", outline.rust_outline(F.array_join(lines, "\n")).alias("headings"))
+
+
+def os_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as OS notifications: renames with both ends, removals, creations and lost events."""
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".txt"))
+    new = F.concat(F.lit("n"), F.col("user_id").cast("string"), F.lit(".txt"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in _EVENT.items() for x in kv)), F.col("event_type"))
+    paths = F.when(kind == "RenameBoth", F.when(F.col("event_id") % 3 == 0, F.array(path, new, new)).otherwise(F.array(path, new))).otherwise(F.array(path))
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event"), paths.alias("paths"),
+        (F.col("user_id") % 4 == 0).alias("is_dir"), (F.col("event_id") % 97 == 0).alias("need_rescan"),
+    )
+
+
+_EVENT = {"view": "Modify", "click": "RenameBoth", "signup": "RemoveFolder", "purchase": "RenameFrom", "error": "RemoveFile"}
+
+
+@query("event_changes", """with e as (select *, 'u' || user_id || '.txt' as p, 'n' || user_id || '.txt' as n from events), made as (
+  select event_id as seq, unnest(case
+    when event_id % 97 = 0 then [struct_pack(kind := 'Rescan', path := null::varchar)]
+    when event_type = 'view' and user_id % 4 = 0 then []
+    when event_type = 'view' then [struct_pack(kind := 'Modified', path := p)]
+    when event_type = 'click' then [struct_pack(kind := 'Deleted', path := p), struct_pack(kind := 'DeletedDir', path := p), struct_pack(kind := 'Modified', path := n)]
+       || case when event_id % 3 = 0 then [struct_pack(kind := 'Modified', path := n)] else [] end
+    when event_type = 'signup' then [struct_pack(kind := 'DeletedDir', path := p)]
+    when event_type = 'purchase' then [struct_pack(kind := 'Deleted', path := p), struct_pack(kind := 'DeletedDir', path := p)]
+    else [struct_pack(kind := 'Deleted', path := p)] end) as c from e)
+select seq, c.kind as kind, c.path as path from made""")
+def event_changes(spark, sf_dir):
+    return changes.event_changes(os_events(spark, sf_dir)).select("seq", "kind", "path")
+
+
+@query("change_apply", f"""with {_CHANGES}, users as (select distinct user_id, 'd' || (user_id % 10) || '/u' || user_id || '.txt' as path from events),
+adds as (select path, max(seq) as seq from changes where kind = 'Modified' group by path), alive as (
+  select a.path from adds a where not exists (select 1 from changes d where d.kind = 'Deleted' and d.path = a.path and d.seq > a.seq)
+     and not exists (select 1 from changes d where d.kind = 'DeletedDir' and starts_with(a.path, d.path || '/') and d.seq > a.seq)),
+old as (select path, 0 as version from users where user_id % 2 = 0 union all select 'keep/' || path, 0 from users),
+fresh as (select path, 1 as version from users where user_id % 3 <> 0)
+select path, version from old o where not exists (select 1 from changes c where (c.kind in ('Deleted', 'Modified') and c.path = o.path) or (c.kind = 'DeletedDir' and starts_with(o.path, c.path || '/')))
+union all select path, version from fresh where path in (select path from alive)""")
+def change_apply(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id").distinct()
+    users = e.select("user_id", F.concat(F.lit("d"), (F.col("user_id") % 10).cast("string"), F.lit("/u"), F.col("user_id").cast("string"), F.lit(".txt")).alias("path"))
+    old = users.where("user_id % 2 = 0").select("path", F.lit(0).alias("version")).union(users.select(F.concat(F.lit("keep/"), "path"), F.lit(0)))
+    fresh = users.where("user_id % 3 <> 0").select("path", F.lit(1).alias("version"))
+    return snapshot.apply_changes(old, change_rows(spark, sf_dir), fresh)
+
+
+@query("directory_walk_filter", rf"with {_ODD} select doc_id from odd where not regexp_matches(path, '(^|/)\.')")
+def directory_walk_filter(spark, sf_dir):
+    """Paths taken as directories: neither they nor what they are in is hidden."""
+    return odd_paths(spark, sf_dir).where(~snapshot.directory_skipped(F.col("path"), ".file_indexr")).select("doc_id")
+
+
+@query("content_types", rf"with {_ODD} select type, count(*) as files from (select case lower(regexp_extract(path, '[^/.][^/]*\.([^./]*)$', 1)) when 'md' then 'text/markdown; charset=utf-8' when 'rst' then 'text/markdown; charset=utf-8' when 'html' then 'text/markdown; charset=utf-8' when 'txt' then 'text/plain; charset=utf-8' end as type from odd) group by type")
+def content_types(spark, sf_dir):
+    return odd_paths(spark, sf_dir).groupBy(text.content_type(F.col("path")).alias("type")).agg(F.count("*").alias("files"))
+
+
+@query("base64_images", "select page_id, base64(encode(url)) as data from pages")
+def base64_images(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.base64(F.encode("url", "UTF-8")).alias("data"))
+
+
+@query("outline_text", _MD.replace("select path, level::int", ", o as (select path, level::int", 1) + r""")
+select d.path, d.path || ' (' || any_value(r.n) || ' lines)' || coalesce(chr(10) || string_agg(repeat('  ', o.level - 1) || o.text || ' [L' || o.start_line || '-L' || o.end_line || ']', chr(10) order by o.start_line), '') as body
+from docs d join (select path, len(ls) as n from raw) r on r.path = d.path left join o on o.path = d.path group by d.path""")
+def outline_text(spark, sf_dir):
+    d = synthetic_markdown(corpus(spark, sf_dir))
+    heads = outline.markdown_headings(d).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "level", "text", "end_line"))).alias("headings"))
+    rows = d.select("path", text.line_count(F.col("text")).alias("n")).join(heads, "path", "left")
+    none = F.array().cast("array<struct<start_line:int,level:int,text:string,end_line:int>>")
+    return rows.select("path", text.outline_text(F.col("path"), F.col("n"), F.coalesce("headings", none)).alias("body"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import forget, written
 
 
 def _distinct_edges(df: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not was[0]:
             break
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        forget(before)
         is_now = _digest(now)
         if is_now == was:
             break

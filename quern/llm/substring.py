@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text is cut after every byte at which the gear hash of the bytes before it has CUT_BITS zero bits, so
-the cuts depend on at most 21 bytes of content and come back into step after an insertion; chunks over
+the cuts depend on at most 20 bytes of content and come back into step after an insertion; chunks over
 MAX_CHUNK bytes are cut again where their hash is least, then by length. Chunks are
 told apart by digest; of each digest the first place (smallest doc_id, then position) stays, and chunks
 elsewhere are repeats. A run of repeats is removed if it holds at least min_words words; runs shorter
@@ -19,7 +19,7 @@ from quern.llm.blocks import BLANK, BATCH, Texts, batched, exchange, hash_spans,
 from quern.llm.common import doc_texts
 
 #: A cut where CUT_BITS bits from bit WINDOW - 1 on are zero: chunks of 2^CUT_BITS bytes on average.
-CUT_BITS, WINDOW, MAX_CHUNK, MIN_WORDS = 5, 17, 256, 18
+CUT_BITS, WINDOW, MAX_CHUNK, MIN_WORDS = 4, 17, 256, 18
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, np.uint32)
 #: Rows without doc_id come last in the order of first places.
 LAST = np.iinfo(np.int64).max

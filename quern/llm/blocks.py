@@ -110,52 +110,74 @@ def unpack(blob: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and up follow whole."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i8").tobytes()
+
+
+def spread(blob: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    values[values == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return values
+
+
+def whole(values: np.ndarray) -> bytes:
+    return values.astype("<i8").tobytes()
+
+
+def read_whole(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<i8", n)
+
+
+#: Ways to send a value for each key: (pack, unpack).
+COUNTS, NUMBERS = (squeezed, spread), (whole, read_whole)
+
 REQUEST = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
-ANSWER = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("answers", pa.binary())])
+ANSWER = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("answers", pa.binary())])
 
 
-def requests(batch: int, keys: np.ndarray, vals: np.ndarray, bits: int) -> pa.Table:
+def requests(batch: int, keys: np.ndarray, vals: np.ndarray, bits: int, pack: Callable[[np.ndarray], bytes]) -> pa.Table:
     """One row for each hash partition that has any of the keys (distinct, ascending)."""
     parts = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.diff(parts, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(keys))
-    packed, size = _pack(keys, bits), vals.dtype.itemsize
-    raw = vals.tobytes()
+    spans = list(zip(cuts, np.append(cuts[1:], len(keys))))
+    packed = _pack(keys, bits)
     return pa.Table.from_arrays([
         pa.array([batch] * len(cuts), pa.int32()), pa.array(parts[cuts], pa.int64()),
-        pa.array([packed[a * KEY_BYTES : b * KEY_BYTES] for a, b in zip(cuts, ends)], pa.binary()),
-        pa.array([raw[a * size : b * size] for a, b in zip(cuts, ends)], pa.binary()),
+        pa.array([packed[a * KEY_BYTES : b * KEY_BYTES] for a, b in spans], pa.binary()), pa.array([pack(vals[a:b]) for a, b in spans], pa.binary()),
     ], schema=REQUEST)
 
 
 def exchange(
     docs: DataFrame, bits: int, ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], join: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    value: str, finish: Callable[[pa.Table, bytes], pa.Table], out_schema,
+    sent: tuple[Callable, Callable], answered: tuple[Callable, Callable], finish: Callable[[pa.Table, np.ndarray], pa.Table], out_schema,
 ) -> DataFrame:
     """docs (with BATCH) -> finish's rows.
 
-    ask(batch of docs) gives distinct ascending keys and a value (numpy type `value`) for each;
-    join(ids, values), over the entries of all batches in one hash partition, with ids telling equal
-    keys apart, gives an answer for each entry; finish(batch of docs, answers in the order of its keys).
+    ask(batch of docs) gives distinct ascending keys and a value for each; join(ids, values), over the
+    entries of all batches in one hash partition, with ids telling equal keys apart, gives an answer for
+    each entry; finish(batch of docs, answers in the order of its keys) makes the rows. sent and answered
+    are the ways (COUNTS, NUMBERS) in which values and answers travel.
     """
 
     def send(x: pa.Table) -> pa.Table:
         keys, vals = ask(x)
-        return requests(x.column(BATCH)[0].as_py(), keys, vals, bits)
+        return requests(x.column(BATCH)[0].as_py(), keys, vals, bits, sent[0])
 
     def meet(x: pa.Table) -> pa.Table:
         blobs = x.column("keys").to_pylist()
-        sizes = np.array([len(b) // KEY_BYTES for b in blobs])
+        sizes = [len(b) // KEY_BYTES for b in blobs]
         _, ids = np.unique(unpack(b"".join(blobs)), return_inverse=True)
-        answers = join(ids, np.frombuffer(b"".join(x.column("vals").to_pylist()), value))
+        answers = join(ids, np.concatenate([sent[1](b, n) for b, n in zip(x.column("vals").to_pylist(), sizes)]))
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        packed = [answers[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.Table.from_arrays([x.column(BATCH), x.column("part"), pa.array(packed, pa.binary())], schema=ANSWER)
+        packed = [answered[0](answers[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return pa.Table.from_arrays([x.column(BATCH), x.column("part"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=ANSWER)
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
-        return finish(left, b"".join(right.column("answers").to_pylist()))
+        parts = [answered[1](b, n) for b, n in zip(right.column("answers").to_pylist(), right.column("n").to_pylist())]
+        return finish(left, np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
     asked = docs.groupBy(BATCH).applyInArrow(send, f"{BATCH} int, part long, keys binary, vals binary")
-    answered = asked.groupBy("part").applyInArrow(meet, f"{BATCH} int, part long, answers binary")
-    return docs.groupBy(BATCH).cogroup(answered.groupBy(BATCH)).applyInArrow(end, out_schema)
+    met = asked.groupBy("part").applyInArrow(meet, f"{BATCH} int, part long, n long, answers binary")
+    return docs.groupBy(BATCH).cogroup(met.groupBy(BATCH)).applyInArrow(end, out_schema)

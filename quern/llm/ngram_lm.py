@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import Texts, batched, exchange, hash_spans, mixed64, partition_bits
+from quern.llm.blocks import COUNTS, Texts, batched, exchange, hash_spans, mixed64, partition_bits
 from quern.llm.common import doc_texts, n_words
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
@@ -52,16 +52,16 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
 
     def ask(x: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = np.unique(_entries(*ngram_keys(Texts.of(x.column("text")), order)), return_counts=True)
-        return keys, counts.astype(np.uint32)
+        return keys, counts
 
     def join(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.bincount(ids, weights=counts).astype(np.int64)[ids]
+        return np.bincount(ids, weights=counts).astype(np.int64)[ids]  # doubles are exact to 2^53
 
-    def finish(x: pa.Table, answers: bytes) -> pa.Table:
+    def finish(x: pa.Table, answers: np.ndarray) -> pa.Table:
         texts = Texts.of(x.column("text"))
         keys, place = ngram_keys(texts, order)
         _, where = np.unique(_entries(keys, place), return_inverse=True)
-        counted = np.frombuffer(answers, np.int64)[where]
+        counted = answers[where]
         score, shorter, at = None, None, 0
         for m in range(order):
             valid = place >= m
@@ -82,7 +82,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
         mean = pa.array(summed / np.maximum(words, 1), mask=words == 0)
         return pa.Table.from_arrays([x.column("doc_id"), pa.array(words.astype(np.int64)), pa.array(summed), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    return exchange(batched(own, size), partition_bits(size), ask, join, "u4", finish, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return exchange(batched(own, size), partition_bits(size), ask, join, COUNTS, COUNTS, finish, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 LM_SQL = r"""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import BLANK, BATCH, Texts, batched, exchange, hash_spans, partition_bits
+from quern.llm.blocks import BATCH, BLANK, COUNTS, NUMBERS, Texts, batched, exchange, hash_spans, partition_bits
 from quern.llm.common import doc_texts
 
 #: A cut where CUT_BITS bits from bit WINDOW - 1 on are zero: chunks of 2^CUT_BITS bytes on average.
@@ -118,16 +118,16 @@ def _spans(docs: DataFrame, min_words: int, build, out_schema) -> DataFrame:
 
     def join(ids: np.ndarray, owners: np.ndarray) -> np.ndarray:
         order = np.lexsort((np.arange(len(ids)), owners, ids))
-        elsewhere = np.ones(len(ids), np.uint8)
+        elsewhere = np.ones(len(ids), np.int64)
         elsewhere[order[np.flatnonzero(np.diff(ids[order], prepend=-1))]] = 0
         return elsewhere
 
-    def finish(x: pa.Table, answers: bytes) -> pa.Table:
+    def finish(x: pa.Table, answers: np.ndarray) -> pa.Table:
         batch = Batch(x)
-        repeated = batch.repeated(np.frombuffer(answers, np.uint8).astype(bool))
+        repeated = batch.repeated(answers.astype(bool))
         return build(x, batch, batch.runs(repeated, min_words))
 
-    return exchange(batched(docs, size), partition_bits(size), ask, join, "i8", finish, out_schema)
+    return exchange(batched(docs, size), partition_bits(size), ask, join, NUMBERS, COUNTS, finish, out_schema)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -302,3 +302,18 @@ def test_license_windows():
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["round_trip"] for r in rows)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**40) | st.integers(250, 260), max_size=30))
+def test_counts_travel_whole(values):
+    for pack, unpack in (blocks.COUNTS, blocks.NUMBERS):
+        assert unpack(pack(np.array(values, np.int64)), len(values)).tolist() == values
+
+
+def test_keys_of_a_partition_stay_apart():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
+    for bits in (0, 3, 8):
+        t = blocks.requests(1, keys, np.arange(len(keys)), bits, blocks.COUNTS[0])
+        got = [len(np.unique(blocks.unpack(b))) for b in t.column("keys").to_pylist()]
+        assert sum(got) == len(keys) and len(got) == 2**bits

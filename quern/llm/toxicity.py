@@ -4,7 +4,8 @@ P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all order
 result is the expected severity, the sum over k >= 1 of P(grade >= k).
 
 Labels tell toxic from clean only. Grade 0 is clean; toxic training texts get grades 1 to 3 by thirds of
-their density of marker features, those the training labels themselves show to mark toxic texts.
+the weight of their marker features, those the training labels themselves show to mark toxic texts.
+(Thirds of density instead would set long and short texts against each other under one weight vector.)
 Features are words and word beginnings (4 and 6 letters), lower-cased, each weighed by log(1 + count).
 """
 
@@ -136,28 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> O
         return None
     names = list(odds)
     index = {f: i for i, f in enumerate(names)}
-    schema = pa.schema([("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float64())), ("density", pa.float64()), ("toxic", pa.int32())])
+    schema = pa.schema([("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float64())), ("mass", pa.float64()), ("toxic", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out: tuple[list, list, list] = ([], [], [])
             for t in x.column("text").to_pylist():
-                found, n = features(t)
+                found = features(t)[0]
                 hit = {index[f]: c for f, c in found.items() if f in index}
                 out[0].append(list(hit))
                 out[1].append([math.log1p(c) for c in hit.values()])
-                out[2].append(sum(c for f, c in found.items() if f in index and not f.endswith("*")) / max(n, 1))
+                out[2].append(sum(out[1][-1]))
             yield pa.RecordBatch.from_arrays([pa.array(o, schema.field(i).type) for i, o in enumerate(out)] + [x.column("toxic")], schema=schema)
 
     # At most max_rows rows of a few features each.
-    got = train.select("text", "toxic").mapInArrow(run, "cols array<int>, vals array<double>, density double, toxic int").toArrow()
+    got = train.select("text", "toxic").mapInArrow(run, "cols array<int>, vals array<double>, mass double, toxic int").toArrow()
     sizes = np.array([len(c) for c in got.column("cols").to_pylist()])
     rows = np.repeat(np.arange(len(sizes)), sizes)
     cols = np.asarray(got.column("cols").combine_chunks().flatten()).astype(np.int64)
     vals = np.asarray(got.column("vals").combine_chunks().flatten()).astype(float)
-    density, toxic = np.asarray(got.column("density")), np.asarray(got.column("toxic"))
-    cuts = np.quantile(density[toxic == 1], [i / GRADES for i in range(1, GRADES)])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, density, side="right"), 0)
+    mass, toxic = np.asarray(got.column("mass")), np.asarray(got.column("toxic"))
+    cuts = np.quantile(mass[toxic == 1], [i / GRADES for i in range(1, GRADES)])
+    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, side="right"), 0)
     weights, theta = fit_cumulative_link(rows, cols, vals, grade, len(names))
     return OrdinalModel(names, weights, theta)
 

@@ -188,7 +188,11 @@ def first_of_group(docs: DataFrame, **options) -> DataFrame:
 
     Repeated rows of that doc_id: one stays. Rows without doc_id stay (they cannot be named).
     """
-    found = written(near_duplicates(docs, **options).where("doc_id is not null").select("doc_id", "component_id"), "groups")
+    return keep_least(docs, written(near_duplicates(docs, **options).where("doc_id is not null").select("doc_id", "component_id"), "groups"))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs of which found (doc_id, component_id) says that they are the first of their component."""
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))

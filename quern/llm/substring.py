@@ -2,10 +2,13 @@
 
 A text is cut after every byte at which the gear hash of the bytes before it has CUT_BITS zero bits, so
 the cuts depend on at most 20 bytes of content and come back into step after an insertion; chunks over
-MAX_CHUNK bytes are cut again where their hash is least, then by length. Chunks are
-told apart by digest; of each digest the first place (smallest doc_id, then position) stays, and chunks
-elsewhere are repeats. A run of repeats is removed if it holds at least min_words words; runs shorter
-than that (stock phrases, chance) stay. Digests meet through blocks.exchange, in packed rows.
+MAX_CHUNK bytes are cut again where their hash is least, then by length. What
+is told apart by digest are windows: the fewest neighbouring chunks that hold min_words whole words, from
+every chunk on, and up to every chunk at which none of those ends. Of each window the first place
+(smallest doc_id, then position) stays, and the chunks of windows elsewhere are repeats, so whatever goes
+lies in min_words words or more that stand in one earlier place as well, at any size of the corpus;
+shorter repeats (stock phrases, chance), however many follow each other, stay. Digests meet through
+blocks.exchange, in packed rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import BATCH, BLANK, COUNTS, NUMBERS, Texts, batched, exchange, hash_spans, partition_bits
+from quern.llm.blocks import BATCH, BLANK, COUNTS, NUMBERS, Texts, batched, exchange, hash_spans, mixed64, partition_bits, powers
 from quern.llm.common import doc_texts
 
 #: A cut where CUT_BITS bits from bit WINDOW - 1 on are zero: chunks of 2^CUT_BITS bytes on average.
@@ -65,29 +68,65 @@ def _doc_ids(x: pa.Table) -> np.ndarray:
     return np.asarray(x.column("doc_id").combine_chunks().fill_null(LAST))
 
 
+def window_digests(digest: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the digests from first to last of each window, from running sums of a polynomial in them."""
+    power = powers(len(digest))
+    inverse = np.full(len(power), pow(int(power[1]), -1, 1 << 64) if len(power) > 1 else 1, np.uint64)
+    inverse[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * power[: len(digest)], dtype=np.uint64)])
+    return mixed64((sums[last + 1] - sums[first]) * np.multiply.accumulate(inverse)[first] + (last - first + 1).astype(np.uint64))
+
+
 class Batch:
-    """Chunks of a batch, with the smallest doc_id that holds each digest in it."""
+    """Chunks of a batch and their windows, with the smallest doc_id that holds each window's digest in it."""
 
-    def __init__(self, x: pa.Table):
+    def __init__(self, x: pa.Table, min_words: int):
         self.texts = Texts.of(x.column("text"))
         self.start, self.length, self.document = chunks(self.texts)
-        digest = hash_spans(self.texts.data, self.start, self.length)
+        self.first, self.last = self.windows(min_words)
+        digest = window_digests(hash_spans(self.texts.data, self.start, self.length), self.first, self.last)
         # Order of first places: doc_id, then the text's hash for rows that share it, then position.
         ids = _doc_ids(x)
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((np.arange(len(ids)), ids))] = np.arange(len(ids))
-        order = np.lexsort((np.arange(len(digest)), rank[self.document], digest)) if len(digest) else np.zeros(0, np.int64)
+        document = self.document[self.first]
+        order = np.lexsort((np.arange(len(digest)), rank[document], digest)) if len(digest) else np.zeros(0, np.int64)
         self.keys, first, self.key_of = np.unique(digest[order], return_index=True, return_inverse=True)
-        self.order, self.owner = order, ids[self.document[order[first]]] if len(order) else np.zeros(0, np.int64)
+        self.order, self.owner = order, ids[document[order[first]]] if len(order) else np.zeros(0, np.int64)
         self.is_first = np.zeros(len(digest), bool)
         self.is_first[order[first]] = True
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.key_of = self.key_of[back]
 
+    def windows(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first chunk, last chunk) of every window, in order of position."""
+        words, lengths, _ = self.texts.words()
+        ends, stops, n = words + lengths, self.start + self.length, len(self.start)
+        if len(words) < min_words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.searchsorted(words, self.start) + min_words - 1
+        first = np.flatnonzero(at < len(words))
+        last = np.searchsorted(stops, ends[at[first]])
+        whole = self.document[first] == self.document[last]
+        first, last = first[whole], last[whole]
+        # No window from the left ends at these: without windows of their own, the ends of passages would stay.
+        bare = np.ones(n, bool)
+        bare[last] = False
+        at = np.searchsorted(ends, stops, side="right") - min_words
+        end = np.flatnonzero(bare & (at >= 0))
+        begin = np.searchsorted(self.start, words[at[end]], side="right") - 1
+        whole = self.document[begin] == self.document[end]
+        first, last = np.concatenate([first, begin[whole]]), np.concatenate([last, end[whole]])
+        order = np.lexsort((last, first))
+        return first[order], last[order]
+
     def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
         """Which chunks are repeats, given for each key whether its first place is in another batch."""
-        return ~self.is_first | elsewhere[self.key_of]
+        again = ~self.is_first | elsewhere[self.key_of]
+        n = len(self.start)
+        opened = np.bincount(self.first[again], minlength=n + 1) - np.bincount(self.last[again] + 1, minlength=n + 1)
+        return np.cumsum(opened)[:n] > 0
 
     def runs(self, repeated: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
         """(start, stop, document, words, chunks) of the runs of repeats that go; start and stop in bytes, at word bounds."""
@@ -113,7 +152,7 @@ def _spans(docs: DataFrame, min_words: int, build, out_schema) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     def ask(x: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        batch = Batch(x)
+        batch = Batch(x, min_words)
         return batch.keys, batch.owner.astype(np.int64)
 
     def join(ids: np.ndarray, owners: np.ndarray) -> np.ndarray:
@@ -123,7 +162,7 @@ def _spans(docs: DataFrame, min_words: int, build, out_schema) -> DataFrame:
         return elsewhere
 
     def finish(x: pa.Table, answers: np.ndarray) -> pa.Table:
-        batch = Batch(x)
+        batch = Batch(x, min_words)
         repeated = batch.repeated(answers.astype(bool))
         return build(x, batch, batch.runs(repeated, min_words))
 

@@ -9,9 +9,9 @@ bound among its continuations by conditional Gumbel noise; the best continuation
 path opens straight down to its end and leaves its siblings in the queue.
 
 Noise comes from a counter-based generator keyed by document, sample, place and piece: the same row gives
-the same samples, whatever batch, order or executor it meets. Units (a blank with the non-blanks after it, a
-line break) are lattices of their own, since no piece crosses them; all units of many documents step
-through their lattices together.
+the same samples, whatever batch, order or executor it meets. Units (a run of blanks with the non-blanks after
+it, a line break) are lattices of their own, since no piece crosses them; all units of many documents step
+through their lattices together, and a worker keeps the lattices of units it has met, up to MAX_NODES.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ SAMPLES, SEED = 2, 6
 POWER, SHIFT = 1.0, 10.0
 #: Characters of text whose lattices a worker holds at once (a longer text is taken alone).
 CHUNK_CHARS = 400_000
+#: Nodes of the lattices that a worker keeps between its batches (some 100 bytes each); beyond, it starts anew.
+MAX_NODES = 1_500_000
 SPACE = "▁"
-_UNIT = re.compile(rf"\n|{SPACE}?[^{SPACE}\n]+|{SPACE}")
+_UNIT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 class Vocabulary:
@@ -101,19 +103,77 @@ class Vocabulary:
         if len(byte_ids) != 256:
             raise ValueError("the model needs byte fallback, so that every text has a path")
         plain = [(sp.id_to_piece(i), i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        # Pieces that cross a unit's bound (runs of blanks, inner blanks) are not used.
+        # Pieces that cross a unit's bound (inner or trailing blanks) are not used; the model at hand has none.
         return cls([(p, i) for p, i in plain if _UNIT.fullmatch(p)], byte_ids)
 
 
+class _Grown:
+    """An array that grows at its end; capacity doubles, so adding costs what is added."""
+
+    __slots__ = ("held", "n")
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            wider = np.zeros(max(2 * len(self.held), self.n + len(more)), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+class _Places(dict):
+    """Unit -> place; a unit looked up for the first time goes to the list `fresh`."""
+
+    fresh: list[str]
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        self[unit] = place = -len(self.fresh)
+        return place
+
+
 class Lattices:
-    """Lattices of a batch's distinct units, in flat arrays: nodes are places in a unit, edges are pieces.
+    """Lattices of distinct units, in flat arrays: nodes are places in a unit, edges are pieces.
 
     Every length of piece is tried at all places at once, by rolling hash, as long as what has been read
-    is the beginning of some piece. logp is an edge's score given its node, from the backward sums.
+    is the beginning of some piece. logp is an edge's score given its node, from the backward sums; upto is
+    the chance of a node's edges up to each one. A unit's lattice does not depend on the units it was built with.
     """
 
-    def __init__(self, v: Vocabulary, units):
-        fresh = list(units)
+    def __init__(self, v: Vocabulary, max_nodes: int = MAX_NODES):
+        self.v, self.max_nodes = v, max_nodes
+        self.clear()
+
+    def clear(self) -> None:
+        #: Unit -> its first node, or -1 - its place in fresh until its lattice is built.
+        self.base, self.fresh = _Places(), []
+        self.base.fresh = self.fresh
+        self._first, self._count, self._target, self._piece = _Grown(np.int64), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32)
+        self._logp, self._upto = _Grown(np.float64), _Grown(np.float64)
+        self._show()
+
+    def _show(self) -> None:
+        self.first, self.count, self.target, self.piece, self.logp, self.upto = (g.held for g in (self._first, self._count, self._target, self._piece, self._logp, self._upto))
+
+    def starts(self, units: list[list[str]]) -> list[np.ndarray]:
+        """The first node of every unit; units not met before get their lattices."""
+        if self._count.n > self.max_nodes:
+            self.clear()
+        found = [np.fromiter(map(self.base.__getitem__, us), np.int64, len(us)) for us in units]
+        if self.fresh:
+            base = self._build(self.fresh)
+            for x in found:
+                new = x < 0
+                x[new] = base[-1 - x[new]]
+            self.base.update(zip(self.fresh, base.tolist()))
+            self.fresh.clear()
+        return found
+
+    def _build(self, fresh: list[str]) -> np.ndarray:
+        v, nodes0, edges0 = self.v, self._count.n, self._target.n
         code = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         node = np.arange(len(code)) + np.repeat(np.arange(len(fresh)), sizes)  # one node more at the end of each unit
@@ -133,20 +193,27 @@ class Lattices:
             alive &= left[at] > length
             at, h = at[alive], h[alive]
         lone = np.flatnonzero(~single)
-        source = np.concatenate([lone, *(f[0] for f in found)])
-        piece = np.concatenate([-code[lone] - 1, *(f[1] for f in found)])
-        step = np.concatenate([np.ones(len(lone), np.int64), *(np.full(len(f[0]), f[2]) for f in found)])
         octets = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
-        score = np.concatenate([octets * v.byte_score, *(v.score[f[1]] for f in found)])
-        order = np.argsort(source * (length + 1) + (length - step))  # long pieces, the likely ones, first; no two are equal
-        source, step, score = node[source[order]], step[order], score[order]
-        target = source + step
         nodes = len(code) + len(fresh)
-        counts = np.bincount(source, minlength=nodes)
+        counts = np.zeros(nodes, np.int64)
+        counts[node[lone]] = 1
+        for places, _, _ in found:
+            counts[node[places]] += 1
         first = np.cumsum(counts) - counts
+        edges = int(counts.sum())
+        source, target, pieces, score = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        free = first.copy()
+        # Long pieces, the likely ones, first.
+        for places, piece, step in [*found[::-1], (lone, -code[lone] - 1, 1)]:
+            here = node[places]
+            slot = free[here]
+            free[here] += 1
+            source[slot], target[slot], pieces[slot] = here, here + step, piece
+            score[slot] = v.score[piece] if places is not lone else octets * v.byte_score
         beta = np.zeros(nodes)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, (int(left.max()) if len(left) else 0) + 2))
+        most = int(left.max(initial=0))
+        by_left = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
+        cuts = np.searchsorted(left[by_left], np.arange(1, most + 2))
         for a, b in zip(cuts, cuts[1:]):
             these = node[by_left[a:b]]
             edge, starts, of = _spread(first[these], counts[these])
@@ -154,16 +221,17 @@ class Lattices:
             top = np.maximum.reduceat(value, starts)
             beta[these] = top + np.log(np.add.reduceat(np.exp(value - top[of]), starts))
         logp = score + beta[target] - beta[source]
-        # The chance of a node's edges up to each one; the last takes what is left.
+        # The last edge of a node takes what is left.
         upto = np.exp(logp)
         some = np.flatnonzero(counts > 1)
         for k in range(1, int(counts.max(initial=0))):
             some = some[counts[some] > k]
             upto[first[some] + k] += upto[first[some] + k - 1]
         upto[(first + counts - 1)[counts > 0]] = np.inf
-        self.first, self.count = first, counts
-        self.target, self.piece, self.logp, self.upto = target, piece[order], logp, upto
-        self.base = dict(zip(fresh, base.tolist()))
+        for grown, more in ((self._first, first + edges0), (self._count, counts), (self._target, target + nodes0), (self._piece, pieces), (self._logp, logp), (self._upto, upto)):
+            grown.add(more)
+        self._show()
+        return base + nodes0
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that a uniform number chooses at each node."""
@@ -288,16 +356,16 @@ def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, sam
     return [[(p.tolist(), *rest) for p, *rest in rows] for rows in sample_paths(v, texts, seeds, samples)]
 
 
-def sample_paths(v: Vocabulary, texts: list[str], seeds: np.ndarray, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text, up to `samples` distinct (edges' pieces, log-probability, perturbed score, log inclusion).
+def sample_paths(v: Vocabulary, texts: list[str], seeds: np.ndarray, samples: int, lat: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """lat: lattices kept from earlier calls. For each text, up to `samples` distinct (edges' pieces, log-probability, perturbed score, log inclusion).
 
     A text with fewer segmentations than `samples` gives all it has; the empty text has one, of no piece.
     The inclusion score is the chance that the path's noise reaches the first perturbed score left out
     (1 if nothing is left out): -log of it weighs a sample in estimates.
     """
     units = [units_of(t) for t in texts]
-    lat = Lattices(v, set().union(*units))
-    starts = [np.array(list(map(lat.base.__getitem__, us)), np.int64) for us in units]
+    lat = lat or Lattices(v)
+    starts = lat.starts(units)
     n = len(texts)
     bound0 = _gumbel(mixed64(seeds))
     sizes = np.array([len(s) for s in starts], np.int64)
@@ -426,10 +494,11 @@ def encode(docs: DataFrame, model_file: str = MODEL, samples: int = SAMPLES, see
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
+        lattices = Lattices(v)
 
         def work(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
             seeds = np.array([_seed(i, t, seed) for i, t in rows], np.uint64)
-            paths = sample_paths(v, [_shown(t) for _, t in rows], seeds, samples)
+            paths = sample_paths(v, [_shown(t) for _, t in rows], seeds, samples, lattices)
             of = [i for i, got in enumerate(paths) for _ in got]
             each = [p for got in paths for p in got]
             pieces = np.concatenate([p[0] for p in each])

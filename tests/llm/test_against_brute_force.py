@@ -240,8 +240,8 @@ def every_path(lat, node):
 
 def test_lattice_is_whole_and_normalised(vocabulary):
     unit = "▁banana"
-    lat = sampling.Lattices(vocabulary, [unit])
-    paths = every_path(lat, next(iter(lat.base.values())))
+    lat = sampling.Lattices(vocabulary)
+    paths = every_path(lat, lat.starts([["▁other", unit]])[0][1])
     assert math.isclose(sum(math.exp(s) for _, s in paths), 1, rel_tol=1e-9)
     assert {"".join(vocabulary.text_of[i].decode() for i in p) for p, _ in paths} == {" banana"}
     pieces = {t.decode() for t in vocabulary.text_of.values() if len(t) > 0 and not t[0] & 0x80}
@@ -254,8 +254,8 @@ def test_samples_follow_the_lattice(vocabulary, monkeypatch):
     flat.score = flat.score * 0.1
     flat.byte_score *= 0.1
     text, n = sampling._shown("aba"), 6000
-    lat = sampling.Lattices(flat, [text])
-    p = {path: math.exp(s) for path, s in every_path(lat, next(iter(lat.base.values())))}
+    lat = sampling.Lattices(flat)
+    p = {path: math.exp(s) for path, s in every_path(lat, lat.starts([[text]])[0][0])}
     got = sampling.sample_segmentations(flat, [text] * n, np.arange(n, dtype=np.uint64) * np.uint64(104729), 2)
     assert all(len(g) == 2 and g[0][0] != g[1][0] and g[0][2] >= g[1][2] for g in got)
     first, second = (Counter(tuple(g[k][0]) for g in got) for k in range(2))
@@ -272,6 +272,18 @@ def test_samples_do_not_depend_on_the_batch(vocabulary):
     alone = [sampling.sample_segmentations(vocabulary, [t], seeds[i : i + 1], 3)[0] for i, t in enumerate(texts)]
     for a, b in zip(together, alone):
         assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])
+    for most in (0, 40, 1 << 20):  # kept lattices, whether or not they are thrown away in between
+        lat = sampling.Lattices(vocabulary, most)
+        for _ in range(2):
+            kept = [[(p.tolist(), *rest) for p, *rest in sampling.sample_paths(vocabulary, [t], seeds[i : i + 1], 3, lat)[0]] for i, t in enumerate(texts)]
+            assert kept == alone
+
+
+def test_pieces_of_blanks_are_in_the_lattice(vocabulary):
+    unit = sampling.units_of(sampling._shown("      indented"))[0]
+    lat = sampling.Lattices(vocabulary)
+    seen = {sum(c.isspace() for c in vocabulary.text_of[i].decode()) for p, _ in every_path(lat, lat.starts([[unit[:7]]])[0][0]) for i in p}
+    assert unit == "▁" * 7 + "indented" and seen >= {1, 2, 3, 4}
 
 
 @settings(max_examples=40, deadline=None)

@@ -60,7 +60,7 @@ def load(file: str | None = None, **overrides) -> Config:
     if not found.get("directory"):
         raise ConfigError("a directory is needed")
     c = Config(**found)
-    c.index_path = c.index_path or os.path.join(c.directory, ".file_indexr", "index")
+    c.index_path = c.index_path or os.path.join(c.directory, ".quern", "index")
     c.extensions = normalise_extensions(c.extensions)
     return validated(c)
 

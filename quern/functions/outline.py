@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.functions.text import lines
+from quern.functions.text import bound, lines
 from quern.schema import OUTLINE
 
 
@@ -20,19 +20,24 @@ def markdown_headings(docs: DataFrame, key: str = "path", text: str = "text") ->
     the next one starts, whatever their levels; the last one with the text. No shuffle is needed.
     """
     blank = F.lit(" \t\r\n\x0b\x0c")
-    numbered = F.transform(lines(F.col(text)), lambda x, i: F.struct(F.btrim(x, blank).alias("x"), (i + 1).alias("n")))
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<struct<level:int,text:string,start_line:int>>").alias("found"))
+    heading = "array<struct<level:int,text:string,start_line:int>>"
+    start = F.struct(F.lit(False).alias("fenced"), F.array().cast(heading).alias("found"))
+
+    def marks(rows: Column) -> Column:
+        """The lines that open, close or head something; the others never reach the fold below."""
+        numbered = F.transform(rows, lambda x, i: F.struct(F.btrim(x, blank).alias("x"), (i + 1).alias("n")))
+        return F.filter(numbered, lambda r: r["x"].startswith("#") | r["x"].startswith("```"))
 
     def step(state: Column, row: Column) -> Column:
         fence = row["x"].startswith("```")
-        hashes = F.length(F.regexp_extract(row["x"], "^#*", 0))
-        level = F.least(hashes, F.lit(6))
+        level = F.least(F.length(F.regexp_extract(row["x"], "^#*", 0)), F.lit(6))
         title = F.btrim(F.substr(row["x"], level + 1), blank)
-        is_heading = ~fence & ~state["fenced"] & (hashes > 0) & (title != "")
         made = F.array(F.struct(level.cast("int").alias("level"), title.alias("text"), row["n"].cast("int").alias("start_line")))
-        return F.struct((state["fenced"] != fence).alias("fenced"), F.when(is_heading, F.concat(state["found"], made)).otherwise(state["found"]).alias("found"))
+        found = F.when(fence | state["fenced"] | (title == ""), state["found"]).otherwise(F.concat(state["found"], made))
+        return F.struct((state["fenced"] != fence).alias("fenced"), found.alias("found"))
 
-    found = docs.select(F.col(key), F.size(lines(F.col(text))).alias("total"), F.aggregate(numbered, start, step)["found"].alias("found"))
+    whole = bound(lines(F.col(text)), lambda rows: F.struct(F.size(rows).alias("total"), F.aggregate(marks(rows), start, step)["found"].alias("found")))
+    found = docs.select(F.col(key), whole.alias("o")).select(key, "o.total", "o.found")
     rows = found.select(key, "total", "found", F.posexplode("found").alias("i", "h"))
     end = F.coalesce(F.get("found", F.col("i") + 1)["start_line"] - 1, F.col("total"))
     return rows.select(key, "h.level", "h.text", "h.start_line", end.cast("int").alias("end_line"))
@@ -41,7 +46,7 @@ def markdown_headings(docs: DataFrame, key: str = "path", text: str = "text") ->
 def markdown_headings_windowed(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """The same over exploded lines with window functions: for texts of so many lines that a row's array is a burden."""
     blank = F.lit(" \t\r\n\x0b\x0c")
-    rows = docs.select(F.col(key), F.size(lines(F.col(text))).alias("total"), F.posexplode(lines(F.col(text))).alias("i", "x"))
+    rows = docs.select(F.col(key), lines(F.col(text)).alias("rows")).select(key, F.size("rows").alias("total"), F.posexplode("rows").alias("i", "x"))
     rows = rows.withColumn("x", F.btrim("x", blank)).withColumn("fence", F.col("x").startswith("```"))
     order = W.partitionBy(key).orderBy("i")
     open_fence = F.sum(F.col("fence").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)) % 2 == 1

@@ -16,11 +16,15 @@ TOKEN_BYTES, SNIPPET_BYTES, MAX_LINES = 40, 200, 100
 _BLANKS = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
+def bound(x: Column, use) -> Column:
+    """use(x) with x computed once per row, however often use names it."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines end at \\n or \\r\\n; no empty line after a final end; '' has none; another \\r is kept."""
-    parts = F.split(text, "\n", -1)
-    bare = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.regexp_replace(x, "\r\\z", "")).otherwise(x))
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(bare, 1, F.size(bare) - 1)).otherwise(bare)
+    # An empty last part follows a final line end, or is all of an empty text.
+    return bound(F.split(text, "\r?\n", -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def line_count(text: Column) -> Column:
@@ -52,17 +56,23 @@ def url_component(text: Column) -> Column:
 def line_slice(text: Column, start: Column | int | None = None, end: Column | int | None = None) -> Column:
     """Lines start to end, from 1 and inclusive; start below 1 counts as 1, end defaults to the last."""
     col = lambda v, d: F.lit(d) if v is None else (v if isinstance(v, Column) else F.lit(v))
-    all_lines = lines(text)
     first = F.greatest(col(start, 1), F.lit(1))
-    last = F.least(F.size(all_lines) if end is None else col(end, 0), F.size(all_lines))
-    return F.array_join(F.slice(all_lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+    def cut(all_lines: Column) -> Column:
+        last = F.least(F.size(all_lines) if end is None else col(end, 0), F.size(all_lines))
+        return F.array_join(F.slice(all_lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+    return bound(lines(text), cut)
 
 
 def auto_truncate(path: Column, text: Column, limit: int = MAX_LINES) -> Column:
     """Texts of more than `limit` lines: a banner, the first lines, and how to read on."""
-    n = line_count(text)
-    head = F.format_string(f"[Truncated: showing lines 1-{limit} of %d. Continue with /file?path=%s&start_line={limit + 1}]\n", n, url_component(path))
-    return F.when(n > limit, F.concat(head, F.array_join(F.slice(lines(text), 1, limit), "\n"), F.format_string("\n[%d lines in total]", n))).otherwise(text)
+
+    def cut(rows: Column) -> Column:
+        head = F.format_string(f"[Truncated: showing lines 1-{limit} of %d. Continue with /file?path=%s&start_line={limit + 1}]\n", F.size(rows), url_component(path))
+        return F.when(F.size(rows) > limit, F.concat(head, F.array_join(F.slice(rows, 1, limit), "\n"), F.format_string("\n[%d lines in total]", F.size(rows)))).otherwise(text)
+
+    return bound(lines(text), cut)
 
 
 def collapse_blanks(text: Column) -> Column:

@@ -474,7 +474,7 @@ def change_apply(spark, sf_dir):
 @query("directory_walk_filter", rf"with {_ODD} select doc_id from odd where not regexp_matches(path, '(^|/)\.')")
 def directory_walk_filter(spark, sf_dir):
     """Paths taken as directories: neither they nor what they are in is hidden."""
-    return odd_paths(spark, sf_dir).where(~snapshot.directory_skipped(F.col("path"), ".file_indexr")).select("doc_id")
+    return odd_paths(spark, sf_dir).where(~snapshot.directory_skipped(F.col("path"), ".quern")).select("doc_id")
 
 
 @query("content_types", rf"with {_ODD} select type, count(*) as files from (select case lower(regexp_extract(path, '[^/.][^/]*\.([^./]*)$', 1)) when 'md' then 'text/markdown; charset=utf-8' when 'rst' then 'text/markdown; charset=utf-8' when 'html' then 'text/markdown; charset=utf-8' when 'txt' then 'text/plain; charset=utf-8' end as type from odd) group by type")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -40,3 +42,47 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(target))
     sc._quern_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as `spark.checkpoint.dir` names it.
+
+    Where it is not set, only a local master (tests, a notebook) gets one made; on a cluster a machine-local
+    folder would lose rows, so that is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quern-")
+        sc.setCheckpointDir(named)
+        forget_at_exit(spark, named)
+    return named.rstrip("/")
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path when the driver's JVM ends, if nobody did before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    forget_at_exit(spark, path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quern_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing lazy reads it any more."""
+    delete(df.sparkSession, df._quern_path)

@@ -166,7 +166,7 @@ def test_config(tmp_path):
     file = tmp_path / "c.toml"
     file.write_text(f'directory = "{tmp_path}"\nport = 9\nextensions = [".MD", "md", "rs"]\n')
     c = config.load(str(file), port=10)
-    assert (c.port, c.extensions, c.max_bytes, c.batch_size) == (10, ["md", "rs"], 20_000_000, 500) and c.index_path == f"{tmp_path}/.file_indexr/index"
+    assert (c.port, c.extensions, c.max_bytes, c.batch_size) == (10, ["md", "rs"], 20_000_000, 500) and c.index_path == f"{tmp_path}/.quern/index"
     file.write_text("unknown = 1\n")
     assert config.load(str(file), directory=str(tmp_path)).port == 8080
     for bad in ({}, {"directory": str(tmp_path / "x")}, {"directory": str(tmp_path), "batch_size": 0}):

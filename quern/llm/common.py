@@ -1,47 +1,16 @@
-"""Helpers shared by the operators: the shared work folder, written tables, words, block packing."""
+"""Helpers shared by the operators: written tables, tables of a folder, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Words are maximal runs of anything but space and the controls 9-13 (Java and RE2 regex).
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as `spark.checkpoint.dir` names it.
-
-    Only where the setting is absent (tests, a notebook) is a local folder made and used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
 
+from quern.session import forget, shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._quern_path = path
-    return back
+__all__ = ["WORD", "doc_texts", "forget", "n_words", "shared_dir", "table", "written"]
 
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that written() made, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._quern_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Words are maximal runs of anything but space and the controls 9-13 (Java and RE2 regex).
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,19 +22,6 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def arrow_rows(values: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=schema.field(k).type) for k, v in values.items()], schema=schema)
-
-
 def n_words(text):
     """Native word count; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-DOCUMENTS = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("lang", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("n_chars", T.LongType()),
-])

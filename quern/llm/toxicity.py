@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_texts, written
+from quern.llm.common import doc_texts, forget, written
 
 GRADES = 3
 #: The bound on labelled rows used to fit (taken by hash), and the features kept.
@@ -97,35 +97,44 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - eta[:, None], -500, 500)))
 
 
+def thresholds(raw: np.ndarray) -> np.ndarray:
+    """Ordered whatever raw is: theta_k = raw_1 + sum of exp(raw_j), j = 2 .. k."""
+    return np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+
+
+def loss_and_gradient(w: np.ndarray, raw: np.ndarray, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades plus half the penalty on w, and its gradient by (w, raw)."""
+    n, k = len(grade), len(raw)
+    bounds = np.concatenate([[-np.inf], thresholds(raw), [np.inf]])
+    eta = np.bincount(rows, weights=w[cols] * vals, minlength=n)
+    up, low = 1 / (1 + np.exp(-np.clip(bounds[grade + 1] - eta, -40, 40))), 1 / (1 + np.exp(-np.clip(bounds[grade] - eta, -40, 40)))
+    up[grade == k], low[grade == 0] = 1.0, 0.0
+    p = np.maximum(up - low, 1e-12)
+    d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
+    g_eta = d_up - d_low  # of the negative log likelihood by eta
+    g_theta = np.zeros(k)
+    np.add.at(g_theta, grade[grade < k], -d_up[grade < k])
+    np.add.at(g_theta, grade[grade > 0] - 1, d_low[grade > 0])
+    g_raw = np.cumsum(g_theta[::-1])[::-1].copy()
+    g_raw[1:] *= np.exp(raw[1:])
+    by_w = np.bincount(cols, weights=g_eta[rows] * vals, minlength=len(w)) / n + PENALTY * w
+    return float(-np.log(p).mean() + PENALTY / 2 * (w**2).sum()), np.concatenate([by_w, g_raw / n])
+
+
 def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, features: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(weights >= 0, theta) by Adam on the penalised log likelihood; (rows, cols, vals) are x's entries.
 
     Thresholds stay ordered as theta_k = theta_1 + sums of exponentials. All features mark toxicity, so
     weights are held at zero or above.
     """
-    n, k = len(grade), GRADES
-    w = np.full(features, 0.5)
-    raw = np.concatenate([[2.0], np.zeros(k - 1)])
-    m, v = np.zeros(features + k), np.zeros(features + k)
+    w, raw = np.full(features, 0.5), np.concatenate([[2.0], np.zeros(GRADES - 1)])
+    m, v = np.zeros(features + GRADES), np.zeros(features + GRADES)
     for step in range(1, steps + 1):
-        theta = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        eta = np.bincount(rows, weights=w[cols] * vals, minlength=n)
-        bounds = np.concatenate([[-np.inf], theta, [np.inf]])
-        up, low = 1 / (1 + np.exp(-np.clip(bounds[grade + 1] - eta, -40, 40))), 1 / (1 + np.exp(-np.clip(bounds[grade] - eta, -40, 40)))
-        up[grade == k], low[grade == 0] = 1.0, 0.0
-        p = np.maximum(up - low, 1e-12)
-        d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
-        g_eta = d_up - d_low  # of the negative log likelihood by eta
-        g_theta = np.zeros(k)
-        np.add.at(g_theta, grade[grade < k], -d_up[grade < k])
-        np.add.at(g_theta, grade[grade > 0] - 1, d_low[grade > 0])
-        g_raw = np.cumsum(g_theta[::-1])[::-1].copy()
-        g_raw[1:] *= np.exp(raw[1:])
-        grad = np.concatenate([np.bincount(cols, weights=g_eta[rows] * vals, minlength=features) / n + PENALTY * w, g_raw / n])
+        _, grad = loss_and_gradient(w, raw, rows, cols, vals, grade)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, raw = np.maximum(w - move[:features], 0), raw - move[features:]
-    return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+    return w, thresholds(raw)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> OrdinalModel | None:
@@ -134,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> O
     train = written(doc_texts(docs).join(known, "doc_id"), "toxic-train")
     odds = _vocabulary(train)
     if not odds:
+        forget(train)
         return None
     names = list(odds)
     index = {f: i for i, f in enumerate(names)}
@@ -152,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> O
 
     # At most max_rows rows of a few features each.
     got = train.select("text", "toxic").mapInArrow(run, "cols array<int>, vals array<double>, mass double, toxic int").toArrow()
+    forget(train)
     sizes = np.array([len(c) for c in got.column("cols").to_pylist()])
     rows = np.repeat(np.arange(len(sizes)), sizes)
     cols = np.asarray(got.column("cols").combine_chunks().flatten()).astype(np.int64)

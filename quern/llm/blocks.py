@@ -5,6 +5,11 @@ batch of documents (a few MB, dealt by hash) sends each hash partition one row:
 keys of that partition, packed, with a value for each. The partition joins the rows of all batches and
 sends each batch one row of answers back, in the same order. A key comes from a batch at most once,
 however often its documents hold it, so a hot key costs a partition one entry a batch.
+
+Batches and partitions both grow with the input, so their rows would grow with its square. Beyond
+ONE_HOP_BITS the keys therefore go by relays: a zone (the first half of a key's partition bits) of a group
+of batches merges what its batches send and asks the zone's partitions once. Each hop fans out by the
+square root of the partitions, so a row holds some 35 keys or more up to 256 TB of text.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, and of text for each hash partition.
 BATCH_BYTES, PARTITION_BYTES = 4 << 20, 4 << 20
-#: The column that deals documents to batches; a table's own column of this name would clash, so it is long.
-BATCH = "_quern_batch"
-#: Bytes of a key that are sent besides the bits that choose its partition.
-KEY_BYTES = 6
+#: The column that deals documents to batches; it stands beside the struct of a document's own columns.
+BATCH = "batch"
+#: Bytes of a key that are sent besides the bits that choose its partition (to a relay, all eight).
+KEY_BYTES, RELAY_KEY_BYTES = 6, 8
+#: Up to so many partition bits (some 32 GB of text) batches ask partitions directly.
+ONE_HOP_BITS = 13
 
 
 def mixed64(x: np.ndarray) -> np.ndarray:
@@ -88,25 +95,33 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def batched(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """docs with a column BATCH, dealt by the hash of doc_id and text."""
+    """(BATCH, row): the rows of docs as one struct, whatever their columns are called, dealt to batches by
+    the hash of doc_id, text and input partition (so rows that repeat do not all meet in one batch)."""
     n = max(1, -(-total_bytes // BATCH_BYTES))
-    return docs.withColumn(BATCH, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")
+    return docs.select(dealt.alias(BATCH), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def rows_of(x: pa.Table) -> pa.Table:
+    """The documents of a batch."""
+    return pa.Table.from_struct_array(x.column("row"))
 
 
 def partition_bits(total_bytes: int) -> int:
     return max(0, int(np.ceil(np.log2(max(total_bytes, 1) / PARTITION_BYTES)))) if total_bytes > PARTITION_BYTES else 0
 
 
-def _pack(keys: np.ndarray, bits: int) -> bytes:
-    """The KEY_BYTES bytes of each key that follow its partition's bits."""
+def _pack(keys: np.ndarray, bits: int, key_bytes: int) -> bytes:
+    """The key_bytes bytes of each key that follow its partition's bits."""
     shifted = (keys << np.uint64(bits)).astype(">u8")
-    return shifted.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+    return shifted.view(np.uint8).reshape(-1, 8)[:, :key_bytes].tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
+def unpack(blob: bytes, key_bytes: int = KEY_BYTES) -> np.ndarray:
+    """What _pack kept of the keys, as the low bytes of a number (all eight: in place)."""
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, key_bytes)
     wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 8 - KEY_BYTES :] = raw
+    wide[:, 8 - key_bytes :] = raw
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
@@ -132,52 +147,108 @@ def read_whole(blob: bytes, n: int) -> np.ndarray:
 #: Ways to send a value for each key: (pack, unpack).
 COUNTS, NUMBERS = (squeezed, spread), (whole, read_whole)
 
-REQUEST = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
-ANSWER = pa.schema([(BATCH, pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("answers", pa.binary())])
+
+@dataclass(frozen=True)
+class Join:
+    """What partitions do with the entries (key, value) of all who ask, given by ids that tell equal keys apart.
+
+    merge(ids, values, askers) -> a value for each id; answer(ids, values, askers, merged) -> an answer for
+    each entry, merged being the answers to the ids of a merge further up, or None at the top.
+    sent and answered are the ways (COUNTS, NUMBERS) in which values and answers travel.
+    """
+
+    merge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    answer: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], np.ndarray]
+    sent: tuple[Callable, Callable]
+    answered: tuple[Callable, Callable]
+
+
+#: from: who asks (a batch, or a group of batches); part: whom (a partition, or a zone).
+REQUEST = pa.schema([("from", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
+ANSWER = pa.schema([("from", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("answers", pa.binary())])
+REQUEST_SQL, ANSWER_SQL = "`from` long, part long, keys binary, vals binary", "`from` long, part long, n long, answers binary"
 
 
-def requests(batch: int, keys: np.ndarray, vals: np.ndarray, bits: int, pack: Callable[[np.ndarray], bytes]) -> pa.Table:
+def requests(asker: int, keys: np.ndarray, vals: np.ndarray, bits: int, pack: Callable[[np.ndarray], bytes], key_bytes: int = KEY_BYTES) -> pa.Table:
     """One row for each hash partition that has any of the keys (distinct, ascending)."""
     parts = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.diff(parts, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
     spans = list(zip(cuts, np.append(cuts[1:], len(keys))))
-    packed = _pack(keys, bits)
+    packed = _pack(keys, bits, key_bytes)
     return pa.Table.from_arrays([
-        pa.array([batch] * len(cuts), pa.int32()), pa.array(parts[cuts], pa.int64()),
-        pa.array([packed[a * KEY_BYTES : b * KEY_BYTES] for a, b in spans], pa.binary()), pa.array([pack(vals[a:b]) for a, b in spans], pa.binary()),
+        pa.array([asker] * len(cuts), pa.int64()), pa.array(parts[cuts], pa.int64()),
+        pa.array([packed[a * key_bytes : b * key_bytes] for a, b in spans], pa.binary()), pa.array([pack(vals[a:b]) for a, b in spans], pa.binary()),
     ], schema=REQUEST)
 
 
-def exchange(
-    docs: DataFrame, bits: int, ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], join: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    sent: tuple[Callable, Callable], answered: tuple[Callable, Callable], finish: Callable[[pa.Table, np.ndarray], pa.Table], out_schema,
-) -> DataFrame:
-    """docs (with BATCH) -> finish's rows.
+def _entries(x: pa.Table, unpack_values: Callable, key_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, ids, values, askers, where each row's entries start and end) of request rows, by asker."""
+    blobs = x.column("keys").to_pylist()
+    sizes = np.array([len(b) // key_bytes for b in blobs], np.int64)
+    keys, ids = np.unique(unpack(b"".join(blobs), key_bytes), return_inverse=True)
+    values = [unpack_values(b, int(n)) for b, n in zip(x.column("vals").to_pylist(), sizes)]
+    askers = np.repeat(np.asarray(x.column("from")), sizes)
+    return keys, ids, np.concatenate([np.zeros(0, np.int64), *values]), askers, np.concatenate([[0], np.cumsum(sizes)])
 
-    ask(batch of docs) gives distinct ascending keys and a value for each; join(ids, values), over the
-    entries of all batches in one hash partition, with ids telling equal keys apart, gives an answer for
-    each entry; finish(batch of docs, answers in the order of its keys) makes the rows. sent and answered
-    are the ways (COUNTS, NUMBERS) in which values and answers travel.
+
+def _answers(x: pa.Table, found: np.ndarray, cuts: np.ndarray, pack: Callable) -> pa.Table:
+    packed = [pack(found[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return pa.Table.from_arrays([x.column("from"), x.column("part"), pa.array(np.diff(cuts), pa.int64()), pa.array(packed, pa.binary())], schema=ANSWER)
+
+
+def _joined(x: pa.Table, unpack_answers: Callable) -> np.ndarray:
+    """The answers of all parts, in the order of the keys."""
+    x = x.sort_by("part")
+    parts = [unpack_answers(b, n) for b, n in zip(x.column("answers").to_pylist(), x.column("n").to_pylist())]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def zone_bits(bits: int, one_hop_bits: int = ONE_HOP_BITS) -> int:
+    """Bits of a zone: 0 if batches ask partitions directly, else half of the partition's, rounded up."""
+    return 0 if bits <= one_hop_bits else (bits + 1) // 2
+
+
+def exchange(docs: DataFrame, bits: int, ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], join: Join, finish: Callable[[pa.Table, np.ndarray], pa.Table], out_schema, one_hop_bits: int = ONE_HOP_BITS) -> DataFrame:
+    """docs (as batched() gives them) -> finish's rows.
+
+    ask(batch of docs) gives distinct ascending keys and a value for each; finish(batch of docs, answers
+    in the order of its keys) makes the rows.
     """
+    zoned = zone_bits(bits, one_hop_bits)
+    group = 1 << zoned  # batches that share relays
+    width = RELAY_KEY_BYTES if zoned else KEY_BYTES
 
     def send(x: pa.Table) -> pa.Table:
-        keys, vals = ask(x)
-        return requests(x.column(BATCH)[0].as_py(), keys, vals, bits, sent[0])
+        keys, vals = ask(rows_of(x))
+        return requests(x.column(BATCH)[0].as_py(), keys, vals, zoned or bits, join.sent[0], width)
 
     def meet(x: pa.Table) -> pa.Table:
-        blobs = x.column("keys").to_pylist()
-        sizes = [len(b) // KEY_BYTES for b in blobs]
-        _, ids = np.unique(unpack(b"".join(blobs)), return_inverse=True)
-        answers = join(ids, np.concatenate([sent[1](b, n) for b, n in zip(x.column("vals").to_pylist(), sizes)]))
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        packed = [answered[0](answers[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return pa.Table.from_arrays([x.column(BATCH), x.column("part"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=ANSWER)
+        x = x.sort_by("from")
+        _, ids, values, askers, cuts = _entries(x, join.sent[1], KEY_BYTES)
+        return _answers(x, join.answer(ids, values, askers, None), cuts, join.answered[0])
+
+    def merged(x: pa.Table) -> pa.Table:
+        x = x.sort_by("from")
+        zone, own = x.column("part")[0].as_py(), x.column("from")[0].as_py() // group
+        keys, ids, values, askers, _ = _entries(x, join.sent[1], RELAY_KEY_BYTES)
+        whole_keys = (keys >> np.uint64(zoned)) | np.uint64(zone << (64 - zoned))
+        return requests(own * group + zone, whole_keys, join.merge(ids, values, askers), bits, join.sent[0])
+
+    def handed(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("from")
+        _, ids, values, askers, cuts = _entries(left, join.sent[1], RELAY_KEY_BYTES)
+        return _answers(left, join.answer(ids, values, askers, _joined(right, join.answered[1])), cuts, join.answered[0])
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("part")
-        parts = [answered[1](b, n) for b, n in zip(right.column("answers").to_pylist(), right.column("n").to_pylist())]
-        return finish(left, np.concatenate(parts) if parts else np.zeros(0, np.int64))
-
-    asked = docs.groupBy(BATCH).applyInArrow(send, f"{BATCH} int, part long, keys binary, vals binary")
-    met = asked.groupBy("part").applyInArrow(meet, f"{BATCH} int, part long, n long, answers binary")
-    return docs.groupBy(BATCH).cogroup(met.groupBy(BATCH)).applyInArrow(end, out_schema)
+        return finish(rows_of(left), _joined(right, join.answered[1]))
+
+    asked = docs.groupBy(BATCH).applyInArrow(send, REQUEST_SQL)
+    if zoned:
+        # A relay is named by its group of batches and its zone; it asks, and hands on, under that name.
+        relay = (F.expr(f"`from` div {group}") * group + F.col("part")).alias("relay")
+        relayed = asked.groupBy(relay).applyInArrow(merged, REQUEST_SQL)
+        met = relayed.groupBy("part").applyInArrow(meet, ANSWER_SQL)
+        answers = asked.groupBy(relay).cogroup(met.groupBy("from")).applyInArrow(handed, ANSWER_SQL)
+    else:
+        answers = asked.groupBy("part").applyInArrow(meet, ANSWER_SQL)
+    return docs.groupBy(BATCH).cogroup(answers.groupBy("from")).applyInArrow(end, out_schema)

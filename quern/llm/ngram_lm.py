@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import COUNTS, Texts, batched, exchange, hash_spans, mixed64, partition_bits
+from quern.llm.blocks import COUNTS, ONE_HOP_BITS, Join, Texts, batched, exchange, hash_spans, mixed64, partition_bits
 from quern.llm.common import doc_texts, n_words
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
@@ -41,7 +41,7 @@ def _entries(keys: list[np.ndarray], place: np.ndarray) -> np.ndarray:
     return np.concatenate([k[place >= m] for m, k in enumerate(keys)])
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, one_hop_bits: int = ONE_HOP_BITS) -> DataFrame:
     """One row per document: doc_id, n_words, log_score (natural log, summed over the words) and mean_log_score.
 
     A text without words (null, empty or blank) has log_score 0 and a null mean. Repeated rows are
@@ -54,8 +54,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
         keys, counts = np.unique(_entries(*ngram_keys(Texts.of(x.column("text")), order)), return_counts=True)
         return keys, counts
 
-    def join(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.bincount(ids, weights=counts).astype(np.int64)[ids]  # doubles are exact to 2^53
+    def summed(ids: np.ndarray, counts: np.ndarray, askers: np.ndarray) -> np.ndarray:
+        return np.bincount(ids, weights=counts).astype(np.int64)  # doubles are exact to 2^53
+
+    def answer(ids: np.ndarray, counts: np.ndarray, askers: np.ndarray, merged: np.ndarray | None) -> np.ndarray:
+        return (summed(ids, counts, askers) if merged is None else merged)[ids]
 
     def finish(x: pa.Table, answers: np.ndarray) -> pa.Table:
         texts = Texts.of(x.column("text"))
@@ -78,11 +81,12 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
             shorter = count
         document = texts.words()[2]
         words = np.bincount(document, minlength=x.num_rows)
-        summed = np.bincount(document, weights=score, minlength=x.num_rows)
-        mean = pa.array(summed / np.maximum(words, 1), mask=words == 0)
-        return pa.Table.from_arrays([x.column("doc_id"), pa.array(words.astype(np.int64)), pa.array(summed), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+        total_score = np.bincount(document, weights=score, minlength=x.num_rows)
+        mean = pa.array(total_score / np.maximum(words, 1), mask=words == 0)
+        return pa.Table.from_arrays([x.column("doc_id"), pa.array(words.astype(np.int64)), pa.array(total_score), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    return exchange(batched(own, size), partition_bits(size), ask, join, COUNTS, COUNTS, finish, "doc_id long, n_words long, log_score double, mean_log_score double")
+    join = Join(summed, answer, COUNTS, COUNTS)
+    return exchange(batched(own, size), partition_bits(size), ask, join, finish, "doc_id long, n_words long, log_score double, mean_log_score double", one_hop_bits)
 
 
 LM_SQL = r"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import BATCH, BLANK, COUNTS, NUMBERS, Texts, batched, exchange, hash_spans, mixed64, partition_bits, powers
+from quern.llm.blocks import BLANK, COUNTS, NUMBERS, ONE_HOP_BITS, Join, Texts, batched, exchange, hash_spans, mixed64, partition_bits, powers
 from quern.llm.common import doc_texts
 
 #: A cut where CUT_BITS bits from bit WINDOW - 1 on are zero: chunks of 2^CUT_BITS bytes on average.
@@ -85,10 +85,11 @@ class Batch:
         self.start, self.length, self.document = chunks(self.texts)
         self.first, self.last = self.windows(min_words)
         digest = window_digests(hash_spans(self.texts.data, self.start, self.length), self.first, self.last)
-        # Order of first places: doc_id, then the text's hash for rows that share it, then position.
+        # Order of first places: doc_id, then the text for rows that share it, then position.
         ids = _doc_ids(x)
         rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((np.arange(len(ids)), ids))] = np.arange(len(ids))
+        raw, offsets = self.texts.data.tobytes(), self.texts.offsets
+        rank[sorted(range(len(ids)), key=lambda i: (ids[i], raw[offsets[i] : offsets[i + 1]]))] = np.arange(len(ids))
         document = self.document[self.first]
         order = np.lexsort((np.arange(len(digest)), rank[document], digest)) if len(digest) else np.zeros(0, np.int64)
         self.keys, first, self.key_of = np.unique(digest[order], return_index=True, return_inverse=True)
@@ -148,28 +149,40 @@ class Batch:
         return words[a], ends[b - 1], document, b - a, chunks_of[fits]
 
 
-def _spans(docs: DataFrame, min_words: int, build, out_schema) -> DataFrame:
+def _first(ids: np.ndarray, owners: np.ndarray, askers: np.ndarray) -> np.ndarray:
+    """The entry of each id that holds its first place: smallest doc_id, then (rows that share it) batch."""
+    order = np.lexsort((askers, owners, ids))
+    return order[np.flatnonzero(np.diff(ids[order], prepend=-1))]
+
+
+def _least(ids: np.ndarray, owners: np.ndarray, askers: np.ndarray) -> np.ndarray:
+    return owners[_first(ids, owners, askers)]
+
+
+def _elsewhere(ids: np.ndarray, owners: np.ndarray, askers: np.ndarray, merged: np.ndarray | None) -> np.ndarray:
+    """0 for the entry that holds the first place of its id, 1 for the others."""
+    out = np.ones(len(ids), np.int64)
+    out[_first(ids, owners, askers)] = 0
+    return out if merged is None else out | merged[ids]
+
+
+def _spans(docs: DataFrame, min_words: int, build, out_schema, one_hop_bits: int = ONE_HOP_BITS) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     def ask(x: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         batch = Batch(x, min_words)
         return batch.keys, batch.owner.astype(np.int64)
 
-    def join(ids: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        order = np.lexsort((np.arange(len(ids)), owners, ids))
-        elsewhere = np.ones(len(ids), np.int64)
-        elsewhere[order[np.flatnonzero(np.diff(ids[order], prepend=-1))]] = 0
-        return elsewhere
-
     def finish(x: pa.Table, answers: np.ndarray) -> pa.Table:
         batch = Batch(x, min_words)
         repeated = batch.repeated(answers.astype(bool))
         return build(x, batch, batch.runs(repeated, min_words))
 
-    return exchange(batched(docs, size), partition_bits(size), ask, join, NUMBERS, COUNTS, finish, out_schema)
+    join = Join(_least, _elsewhere, NUMBERS, COUNTS)
+    return exchange(batched(docs, size), partition_bits(size), ask, join, finish, out_schema, one_hop_bits)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, one_hop_bits: int = ONE_HOP_BITS) -> DataFrame:
     """One row per document: doc_id, has_repeats, n_chunks, removed_chunks, removed_words, spans, kept_chars.
 
     spans: array of (start, stop) in code points, stop excluded, the parts of the text that repeat an
@@ -196,7 +209,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ], names=["doc_id", "has_repeats", "n_chunks", "removed_chunks", "removed_words", "spans", "kept_chars"])
 
     schema = "doc_id long, has_repeats boolean, n_chunks long, removed_chunks long, removed_words long, spans array<struct<start:long,stop:long>>, kept_chars long"
-    return _spans(doc_texts(docs), min_words, build, schema)
+    return _spans(doc_texts(docs), min_words, build, schema, one_hop_bits)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -208,7 +221,6 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = docs.columns
 
     def build(x: pa.Table, batch: Batch, runs) -> pa.Table:
-        x = x.drop_columns([BATCH])
         start, stop, document, *_ = runs
         if not len(start):
             return x

@@ -6,30 +6,43 @@ Every copy of a document gets a virtual finish time, its source's words up to an
 shuffled by hash) divided by the source's target. The copies are put in order of finish time across
 sources and cut where their words reach the total budget.
 
-Running sums are taken in two levels, over ranges of the shuffled order (and of finish time) and then
-inside one range, so neither a hot source nor the whole table meets in one task.
+Rows that repeat are counted first and numbered apart in bounded parts. Running sums are taken in levels
+(groups of ranges of the shuffled order, ranges, then inside one range), and the cut is looked for in ever
+narrower buckets of finish time, so neither a hot source, nor a hot row, nor ties meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quern.llm.common import n_words, written
+from quern.llm.common import forget, n_words, written
 
 WEIGHTS, SHARE_PERCENT, MAX_COPIES = (3, 1, 2), 150, 2
 #: Rows that one range holds on average; ranges are told apart by hex digits of the shuffle key.
 RANGE_ROWS, SEED = 2_000, "mix-1"
+#: Repeats of one row that are numbered together; rows that are put in order to find the cut; buckets that narrow them down.
+PART_ROWS, SORTED_ROWS, BUCKETS = 1_000, 10_000, 4_096
 
 
-def _sizes(docs: DataFrame, seed: str) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    return own.select(
-        "doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), n_words(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), name)).alias("k"),
-    )
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
+def _keys(docs: DataFrame, seed: str) -> list[Column]:
+    """doc_id, src ("=" and the source's name, or "" for null), size, the shuffle key k, and h, a hash of the whole row (maps left out)."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    return [
+        doc_id.alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("src"), n_words(text).alias("size"),
+        F.md5(F.concat(F.lit(seed + ":"), name)).alias("k"), F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType))).alias("h"),
+    ]
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -38,7 +51,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_perc
     Filling: with sources by cap over weight, the level is the largest of (budget - caps before) /
     (weights from here on); each target is the smaller of its cap and level times weight.
     """
-    # src is "=" and the source's name, or "" for null: null sorts last.
+    # "" is the null source: it sorts last.
     order = W.orderBy((F.col("src") == "").asc(), F.col("src").asc())
     weigh = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)
     x = by_source.withColumn("weight", weigh)
@@ -59,68 +72,123 @@ def _digits(rows: int) -> int:
     return d
 
 
+def _starts(ranged: DataFrame, digits: int) -> DataFrame:
+    """(src, range, start): the words of a source before each of its ranges, over groups of at most 16^4 ranges."""
+    sums = ranged.groupBy("src", "range").agg(F.sum(F.col("n") * F.col("size")).alias("words")).withColumn("group", F.substring("range", 1, digits // 2))
+    upto = F.sum("words").over(W.partitionBy("src", "group").orderBy("range")) - F.col("words")
+    groups = sums.groupBy("src", "group").agg(F.sum("words").alias("words"))
+    before = groups.select("src", "group", (F.sum("words").over(W.partitionBy("src").orderBy("group")) - F.col("words")).alias("before"))
+    return sums.withColumn("upto", upto).join(before, ["src", "group"]).select("src", "range", (F.col("before") + F.col("upto")).alias("start"))
+
+
+def _numbered(rows: DataFrame, most: int) -> DataFrame:
+    """rows with n repeats -> a row each, upto raised by size from one to the next; most: the largest n."""
+    one = lambda x: x.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).withColumn("upto", F.col("upto") + F.col("i") * F.col("size")).drop("i", "n")
+    if most <= PART_ROWS:
+        return one(rows)
+    parts = rows.where(F.col("n") > PART_ROWS).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PART_ROWS).cast("int"))))
+    done = F.col("part") * PART_ROWS
+    parts = parts.withColumn("upto", F.col("upto") + done * F.col("size")).withColumn("n", F.least(F.lit(PART_ROWS), F.col("n") - done))
+    return one(rows.where(F.col("n") <= PART_ROWS)).unionByName(one(parts.repartition("src", "k", "part").drop("part")))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, finish (one per copy), copies, taken.
+    """One row per document: doc_id, source, size, source_size, target, finish (one per copy), copies, taken, h.
 
     taken = copies * size. A null text has size 0; documents of size 0 take nothing. A null source is a
     source of its own, last. Repeated rows are documents of their own, told apart only by their place in
-    the order. An empty table gives no rows. Reruns agree: the order comes from hashes of doc_id (of the
-    text, if doc_id is null).
+    the order; h is a hash of the whole row. An empty table gives no rows. Reruns agree: the order comes
+    from hashes of doc_id (of the text, if doc_id is null), ties from h.
     """
-    sizes = written(_sizes(docs, seed), "sizes")
-    rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    by_source = targets(sizes.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share_percent, max_copies)
-    ranged = sizes.withColumn("range", F.substring("k", 1, _digits(rows)))
-    starts = ranged.groupBy("src", "range").agg(F.sum("size").alias("words"))
-    starts = starts.select("src", "range", (F.sum("words").over(W.partitionBy("src").orderBy("range")) - F.col("words")).alias("start"))
-    inside = W.partitionBy("src", "range").orderBy("k", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    upto = ranged.join(starts, ["src", "range"]).withColumn("upto", F.col("start") + F.sum("size").over(inside))
-    timed = upto.join(by_source.select("src", "source_size", "target"), "src")
+    sizes = written(docs.select(*_keys(docs, seed)).groupBy("doc_id", "src", "size", "k", "h").agg(F.count("*").alias("n")), "sizes")
+    rows, words, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    by_source = targets(sizes.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share_percent, max_copies)
+    digits = _digits(rows)
+    ranged = sizes.withColumn("range", F.substring("k", 1, digits))
+    inside = W.partitionBy("src", "range").orderBy("k", "doc_id", "size", "h").rowsBetween(W.unboundedPreceding, 0)
+    # upto: the words up to and with the first of n equal rows.
+    upto = F.col("start") + F.sum(F.col("n") * F.col("size")).over(inside) - (F.col("n") - 1) * F.col("size")
+    each = _numbered(ranged.join(_starts(ranged, digits), ["src", "range"]).withColumn("upto", upto), most)
+    timed = each.join(by_source.select("src", "source_size", "target"), "src")
     finish = [F.when(F.col("target") > 0, (F.lit(i) * F.col("source_size") + F.col("upto")) / F.col("target")) for i in range(max_copies)]
-    timed = written(timed.select("doc_id", "src", "size", "k", "source_size", "target", F.array(*finish).alias("finish")), "finish-times")
-    last = _cut(timed, words * share_percent, rows)
-    in_order = lambda i: F.struct(F.col("finish")[i].alias("finish"), F.col("k").alias("k"), F.lit(i).alias("copy"))
-    taken = lambda i: F.coalesce((F.col("finish")[i].isNotNull() & (in_order(i) <= F.struct(F.lit(last[0]).alias("finish"), F.lit(last[1]).alias("k"), F.lit(last[2]).alias("copy")))).cast("int"), F.lit(0)) if last else F.lit(0)
-    copies = F.when(F.col("size") > 0, sum((taken(i) for i in range(1, max_copies)), taken(0))).otherwise(0)
+    timed = written(timed.select("doc_id", "src", "size", "k", "h", "source_size", "target", F.array(*finish).alias("finish")), "finish-times")
+    forget(sizes)
+    last = _cut(timed, words * share_percent)
+    if last is None:
+        copies = F.lit(0)
+    else:
+        place = lambda i: F.struct(F.col("finish")[i], F.col("k"), F.lit(i), F.col("src"))
+        taken = [F.coalesce((F.col("finish")[i].isNotNull() & (place(i) <= F.struct(*map(F.lit, last)))).cast("int"), F.lit(0)) for i in range(max_copies)]
+        copies = F.when(F.col("size") > 0, sum(taken[1:], taken[0])).otherwise(0)
     return timed.select(
         "doc_id", F.when(F.col("src") != "", F.substring("src", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "finish",
-        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "h",
     )
 
 
-def _cut(timed: DataFrame, hundred_budgets: int, rows: int) -> tuple | None:
-    """(finish, k, copy) of the last copy within the budget; None if none is.
+_PLACE = ("finish", "k", "copy", "src")
+
+
+def _cut(timed: DataFrame, hundred_budgets: int) -> tuple | None:
+    """(finish, k, copy, src) of the last copy, in this order, up to which the words stay within the budget; None if none is.
 
-    Finish times are counted in ranges first (their number is bounded), then only the range in which the
-    budget ends is put in order. Words spread evenly over finish time, so that range holds its share.
+    Each round counts the copies still in question in at most BUCKETS buckets (of finish time; among copies
+    of one finish time, of the key's next digits) and goes on inside the one in which the budget ends.
+    Only SORTED_ROWS copies or fewer are put in order.
     """
-    per_unit = 16 ** _digits(rows)
-    copy = timed.where("size > 0").select("k", "size", F.posexplode("finish").alias("copy", "finish")).where("finish is not null")
-    copy = copy.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(4.0)) * per_unit))
-    sums = copy.groupBy("range").agg(F.sum("size").alias("words"))
-    upto = sums.withColumn("upto", F.sum("words").over(W.orderBy("range")))
-    at = upto.where(100 * F.col("upto") > F.lit(hundred_budgets)).orderBy("range").first()
-    if at is None:
-        end = copy.agg(F.max(F.struct("finish", "k", "copy"))).first()[0]
-        return tuple(end) if end else None
-    running = F.sum("size").over(W.orderBy("finish", "k", "copy").rowsBetween(W.unboundedPreceding, 0)) + F.lit(at["upto"] - at["words"])
-    within = copy.where(F.col("range") == at["range"]).withColumn("running", running).where(100 * F.col("running") <= F.lit(hundred_budgets))
-    end = within.agg(F.max(F.struct("finish", "k", "copy"))).first()[0]
-    if end is None:
-        end = copy.where(F.col("range") < at["range"]).agg(F.max(F.struct("finish", "k", "copy"))).first()[0]
-    return tuple(end) if end else None
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all columns kept.
-
-    Rows that share doc_id, source and size are taken equally often (as the most taken of them).
+    copy = timed.where("size > 0").select("k", "src", "size", F.posexplode("finish").alias("copy", "finish")).where("finish is not null")
+    place, digits, before, first = F.struct(*_PLACE), 0, 0, True
+    low, high, last = None, None, None
+    within = copy
+    while True:
+        facts = within.agg(F.count("*").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high"), F.sum("size").alias("words"), F.max(place).alias("last")).first()
+        if first and 100 * (facts["words"] or 0) <= hundred_budgets:
+            return tuple(facts["last"]) if facts["n"] else None
+        first = False
+        if facts["n"] <= SORTED_ROWS or digits >= 32:
+            break
+        low, high = facts["low"], facts["high"]
+        if low < high:
+            step = F.floor((F.col("finish") - F.lit(low)) / F.lit(high - low) * BUCKETS)
+            bucket = F.least(step, F.lit(BUCKETS - 1)).cast("string")
+        else:
+            digits += 3
+            bucket = F.substring("k", 1, digits)
+        sums = within.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.min("finish").alias("low"), F.max("finish").alias("high"), F.max(place).alias("last")).collect()
+        sums.sort(key=lambda r: (r["low"], r["bucket"]))  # at most BUCKETS rows
+        for r in sums:
+            if 100 * (before + r["words"]) > hundred_budgets:
+                break
+            before, last = before + r["words"], r["last"]
+        within = within.where(F.col("finish").between(F.lit(r["low"]), F.lit(r["high"])))
+        if low == high:
+            within = within.where(F.substring("k", 1, digits) == r["bucket"])
+    running = F.sum("size").over(W.orderBy(*_PLACE).rowsBetween(W.unboundedPreceding, 0)) + F.lit(before)
+    end = within.withColumn("running", running).where(100 * F.col("running") <= F.lit(hundred_budgets)).agg(F.max(place)).first()[0]
+    return tuple(end or last) if end or last else None
+
+
+def mixed(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, all columns kept, whatever their names.
+
+    Rows that are equal (maps aside) stand for one another: of n such rows taken t times in all, t come out.
+    An empty table gives no rows.
     """
-    plan = mix_plan(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    plan = plan.toDF("_doc", "_source", "_size", "_copies")
-    own = docs.withColumn("_words", n_words(F.col("text").cast("string")))
-    same = own["doc_id"].eqNullSafe(plan["_doc"]) & own["source"].eqNullSafe(plan["_source"]) & (own["_words"] == plan["_size"])
-    return own.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    plan = mix_plan(docs, seed=seed, **options)
+    src = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src")
+    plan = plan.select("doc_id", src, "size", "h", "copies").groupBy("doc_id", "src", "size", "h").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    plan = written(plan.where("copies > 0").withColumnRenamed("doc_id", "id"), "mix-plan")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_keys(docs, seed))
+    same = (own["h"] == plan["h"]) & (own["src"] == plan["src"]) & (own["size"] == plan["size"]) & own["doc_id"].eqNullSafe(plan["id"])
+    found = own.join(plan, same).select("row", plan["h"], "doc_id", "n", "copies")
+    again = lambda x: x.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    if plan.where("n > 1").isEmpty():
+        return again(found)
+    # Equal rows become one before their copies are made, a part of them at a time.
+    once = found.where("n > 1").groupBy("h", "doc_id", "n", "copies").agg(F.first("row").alias("row"))
+    parts = once.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / PART_ROWS).cast("int"))))
+    parts = parts.withColumn("copies", F.least(F.lit(PART_ROWS), F.col("copies") - F.col("part") * PART_ROWS)).repartition("h", "part")
+    return again(found.where("n = 1")).unionByName(again(parts))
 
 
 MIX_SQL = r"""

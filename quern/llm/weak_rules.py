@@ -21,26 +21,30 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 EM_ROUNDS, KEEP_AT = 50, 0.5
 #: Where EM starts: the share of good texts, and how often a rule that votes calls good and bad texts bad.
 START_GOOD, START_BAD_ON_GOOD, START_BAD_ON_BAD = 0.85, 0.01, 0.4
-#: Rates stay this far from 0 and 1, so that no single rule is ever certain; and as each rule knows one
-#: way of being bad among several, it is never taken to find more than this share of the bad texts.
-FLOOR, MOST_FOUND = 1e-3, 0.6
+#: Rates stay this far from 0 and 1, so that no single rule is ever certain. To a rule's votes are added this
+#: share of them as prior votes at the starting rates: rates lean to them alike at every size of the input.
+FLOOR, PRIOR_SHARE = 1e-3, 0.02
 
 
-def _repeat_words(w: str) -> str:
+def _repeat_words(w: str, hash_of: str = "xxhash64({w}[i], {w}[i + 1], {w}[i + 2])") -> str:
     """SQL: words of array w inside 3-word windows that occur twice or more.
 
-    Windows are hashed and packed with their position into longs, which sort fast; neighbours with one
-    hash are compared word by word, then the union of the windows' spans is measured from the gaps.
+    Windows are hashed and packed with their position into longs, which sort fast; neighbours of one hash
+    are compared word by word, then the union of the windows' spans is measured from the gaps. In a text
+    where two different windows have one (shortened) hash, the windows themselves are sorted instead.
     """
-    same = "shiftright(s.v[j], s.b) = shiftright(s.v[{k}], s.b)"
-    at, other = f"{w}[int(s.v[j] & s.m) + {{d}}]", f"{w}[int(s.v[{{k}}] & s.m) + {{d}}]"
-    hit = " and ".join([same, *(f"{at} = {other}".replace("{d}", str(d)) for d in range(3))])
-    before, after = hit.replace("{k}", "j - 1"), hit.replace("{k}", "j + 1")
-    positions = f"sort_array(transform(filter(sequence(0, size(s.v) - 1), j -> (j > 0 and {before}) or (j < size(s.v) - 1 and {after})), j -> int(s.v[j] & s.m)))"
+    at = lambda k, d: f"{w}[int(s.v[{k}] & s.m) + {d}]"
+    near = lambda k: f"shiftright(s.v[j], s.b) = shiftright(s.v[{k}], s.b)"
+    equal = lambda k: " and ".join(f"{at('j', d)} = {at(k, d)}" for d in range(3))
+    clash = f"exists(sequence(1, size(s.v) - 1), j -> {near('j - 1')} and not ({equal('j - 1')}))"
+    hashed = f"sort_array(transform(filter(sequence(0, size(s.v) - 1), j -> (j > 0 and {near('j - 1')}) or (j < size(s.v) - 1 and {near('j + 1')})), j -> int(s.v[j] & s.m)))"
+    windows = f"sort_array(transform(sequence(0, size({w}) - 3), i -> struct({w}[i] as a, {w}[i + 1] as b, {w}[i + 2] as c, i as i)))"
+    same = lambda k: " and ".join(f"x[j].{c} = x[{k}].{c}" for c in "abc")
+    exact = f"transform(array({windows}), x -> sort_array(transform(filter(sequence(0, size(x) - 1), j -> (j > 0 and {same('j - 1')}) or (j < size(x) - 1 and {same('j + 1')})), j -> x[j].i)))[0]"
     union = "if(size(p) = 0, 0, 3 + aggregate(sequence(0, size(p) - 1), 0, (total, k) -> total + if(k = 0, 0, least(3, p[k] - p[greatest(k - 1, 0)]))))"
-    packed = f"sort_array(transform(sequence(0, size({w}) - 3), i -> shiftleft(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), length(bin(size({w})))) | i))"
+    packed = f"sort_array(transform(sequence(0, size({w}) - 3), i -> shiftleft({hash_of.replace('{w}', w)}, length(bin(size({w})))) | i))"
     bound = f"array(struct({packed} as v, length(bin(size({w}))) as b, shiftleft(1L, length(bin(size({w})))) - 1 as m))"
-    return f"if(size({w}) < 4, 0, transform({bound}, s -> transform(array({positions}), p -> {union})[0])[0])"
+    return f"if(size({w}) < 4, 0, transform({bound}, s -> transform(array(if({clash}, {exact}, {hashed})), p -> {union})[0])[0])"
 
 
 def rule_figures(docs: DataFrame) -> DataFrame:
@@ -119,12 +123,12 @@ def estimate(patterns: list[tuple[str, int]], rules: int = len(RULES), rounds: i
         good = sum(g for *_, g in weighed)
         rates: tuple[list[float], list[float]] = ([], [])
         for i in range(rules):
-            for out, share, before in ((rates[0], lambda n, g: g, now.bad_on_good[i]), (rates[1], lambda n, g: n - g, now.bad_on_bad[i])):
+            for out, share, start in ((rates[0], lambda n, g: g, START_BAD_ON_GOOD), (rates[1], lambda n, g: n - g, START_BAD_ON_BAD)):
                 voted = sum(share(n, g) for p, n, g in weighed if p[i] != "-")
                 bad = sum(share(n, g) for p, n, g in weighed if p[i] == "0")
-                out.append(clip(bad / voted) if voted > 1e-9 else before)
+                out.append(clip((bad / voted + PRIOR_SHARE * start) / (1 + PRIOR_SHARE)) if voted > 1e-9 else start)
         # A rule never counts against its own meaning: a bad vote is no sign of a good text.
-        now = Accuracies(clip(good / total), tuple(rates[0]), tuple(max(g, min(MOST_FOUND, b)) for g, b in zip(*rates)))
+        now = Accuracies(clip(good / total), tuple(rates[0]), tuple(max(g, b) for g, b in zip(*rates)))
     return now
 
 

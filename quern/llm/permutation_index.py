@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its nearest pivots in order. Each shard of the table posts its vectors in
-inverted files, one per pivot, with the pivot's place in the vector's order. A query adds up, over the
-files of its own nearest pivots, what each shared pivot takes off the footrule distance between the two
-orders (places missing from an order count as its length), takes the vectors of smallest footrule, and
-reranks them by exact Euclidean distance. Equal vectors of a shard are indexed once with their smallest
-ids, so a very common vector costs one entry. Queries meet the shards in blocks of bounded size.
+Every vector is represented by its nearest pivots in order (a prefix of its permutation of them). Each shard of the table (dealt by hash, the
+same under any partitioning) posts its vectors in inverted files, one per pivot, with the pivot's place in
+the vector's order. A query adds up, over the files of its own nearest pivots, what each shared pivot takes
+off the footrule distance between the two orders (places missing from an order count as its length), takes
+the share of the shard with the smallest footrule, and reranks it by exact Euclidean distance.
+
+How large that share must be depends on the data, not on the table's size: for each of PREFIXES it is measured
+on the sample that gives the pivots, as what RECALL of the sample's own nearest neighbours needs, and the
+prefix that makes least work (postings read, and components of reranked vectors) is taken. Queries go to the
+shards by a shuffle and stream past an index that is built once; no vector moves more than once.
 """
 
 from __future__ import annotations
@@ -20,31 +24,27 @@ from pyspark.sql.window import Window as W
 
 from quern.llm.common import written
 
-PIVOTS, PREFIX, NEIGHBOURS = 256, 128, 10
-#: Of each shard, this share of its distinct vectors, and this many at least, are reranked.
-RERANK_SHARE, RERANK_LEAST = 0.1, 400
-#: Vectors of one shard, queries of one block (both bound what a task or the driver holds), pivot sample.
-SHARD, QUERY_BLOCK, SAMPLE = 32_768, 8_192, 4_096
+PIVOTS, PREFIXES, NEIGHBOURS = 256, (16, 32, 64, 128), 10
+#: Rows that pivots, prefix and reranked share are fitted on, probes among them, and the recall they must reach.
+SAMPLE, PROBES, RECALL = 4_096, 128, 0.95
+#: Vectors of a shard: 64 times the root of their number, between these bounds.
+LEAST_SHARD, MOST_SHARD = 8_192, 262_144
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the rows that take part.
+    """(vec_id, v array<double>, n) of the rows that take part, n how often vec_id and vector occur together.
 
-    Null vectors, all-zero ones, those with a null or non-finite component and rows without vec_id do
-    not; nor do vectors of another length than the most frequent (of equally frequent lengths, the
-    shortest counts). Rows that repeat vec_id and vector are one.
+    Null, empty and all-zero vectors, those with a null or non-finite component and rows without vec_id do not.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"
-    own = own.where(fine)
-    length = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.where(F.size("v") == (length["n"] if length else 0)).distinct()
+    return own.where(fine).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
 
 
-def pivots_of(fit_on: np.ndarray, count: int) -> np.ndarray:
-    """The first `count` distinct rows: the sample comes in hash order."""
-    _, first = np.unique(fit_on, axis=0, return_index=True)
-    return fit_on[np.sort(first)][:count]
+def pivots_of(sample: np.ndarray, count: int) -> np.ndarray:
+    """The first distinct rows, `count` or a quarter of the sample, one at least: the sample comes in hash order."""
+    _, first = np.unique(sample, axis=0, return_index=True)
+    return sample[np.sort(first)][: max(1, min(count, len(sample) // 4))]
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -56,88 +56,134 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 class Shard:
     """Inverted files over one shard's distinct vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int, per_vector: int):
-        by_id = np.argsort(ids, kind="stable")
-        ids, vectors = ids[by_id], vectors[by_id]
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int):
         self.vectors, group = np.unique(vectors, axis=0, return_inverse=True)
-        # Of equal vectors, only the smallest ids can be among the nearest.
-        by_group = np.argsort(group.ravel(), kind="stable")
-        starts = np.searchsorted(group.ravel()[by_group], np.arange(len(self.vectors) + 1))
-        self.ids = [ids[by_group[a : min(b, a + per_vector)]] for a, b in zip(starts, starts[1:])]
-        self.prefix = min(prefix, len(pivots))
-        near = orders(self.vectors, pivots, self.prefix)
-        flat = near.ravel()
+        # Of equal vectors, the smallest ids are the nearest.
+        by = np.lexsort((ids, group.ravel()))
+        self.ids, self.counts = ids[by], counts[by]
+        self.cuts = np.searchsorted(group.ravel()[by], np.arange(len(self.vectors) + 1))
+        self.pivots, self.prefix = pivots, min(prefix, len(pivots))
+        flat = orders(self.vectors, pivots, self.prefix).ravel()
         post = np.argsort(flat, kind="stable")
         cuts = np.searchsorted(flat[post], np.arange(len(pivots) + 1))
-        self.files = [(post[a:b] // self.prefix, post[a:b] % self.prefix) for a, b in zip(cuts, cuts[1:])]
-
-    def nearest(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float, least: int) -> list[tuple[float, int]]:
+        rows, places = (post // self.prefix).astype(np.int32), (post % self.prefix).astype(np.int32)
+        self.files = [(rows[a:b], places[a:b]) for a, b in zip(cuts, cuts[1:])]
+        #: Postings read and distances measured so far.
+        self.postings = self.distances = 0
+
+    def saved(self, order: np.ndarray) -> np.ndarray:
+        """What each vector's order shares with this one, in footrule distance; the footrule is a constant less this."""
+        found = [self.files[p] for p in order]
+        rows, places = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        own = np.repeat(np.arange(len(order)), [len(f[0]) for f in found])
+        self.postings += len(rows)
+        return np.bincount(rows, weights=2.0 * (self.prefix - np.maximum(own, places)), minlength=len(self.vectors))
+
+    def nearest(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float) -> list[tuple[float, int]]:
+        """(distance, vec_id) of the k nearest found: every row counts, but for one of the query's own id and vector."""
         n = len(self.vectors)
-        off = np.zeros(n, np.int32)
-        for place, pivot in enumerate(order):
-            rows, places = self.files[pivot]
-            off[rows] += 2 * (self.prefix - np.maximum(place, places)).astype(np.int32)
-        take = min(n, max(least, k + 1, int(np.ceil(share * n))))
-        some = np.argpartition(-off, take - 1)[:take] if take < n else np.arange(n)
+        take = min(n, max(k + 1, int(np.ceil(share * n))))
+        some = np.arange(n)
+        if take < n:
+            some = np.argpartition(-self.saved(order), take - 1)[:take]
+        self.distances += take
         exact = np.sqrt(((self.vectors[some] - query) ** 2).sum(1))
         found: list[tuple[float, int]] = []
         for at in np.argsort(exact, kind="stable"):
             if len(found) >= k and exact[at] > found[k - 1][0]:
                 break
-            found += [(float(exact[at]), int(i)) for i in self.ids[some[at]] if i != query_id]
+            a, b = self.cuts[some[at]], self.cuts[some[at] + 1]
+            left = k + 1
+            for i, c in zip(self.ids[a : min(b, a + k + 1)].tolist(), self.counts[a : min(b, a + k + 1)].tolist()):
+                c -= i == query_id and exact[at] == 0
+                found += [(float(exact[at]), i)] * min(c, left)
             found.sort()
         return found[:k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, prefix: int = PREFIX, rerank_share: float = RERANK_SHARE, rerank_least: int = RERANK_LEAST) -> DataFrame:
+def fitted(sample: np.ndarray, pivots: np.ndarray, k: int, prefixes: tuple[int, ...] = PREFIXES, recall: float = RECALL, probes: int = PROBES) -> tuple[int, float]:
+    """(prefix, share): the least work by which `recall` of the probes' k nearest in the sample are reranked; share 1 if the sample is too small to tell."""
+    n, best = len(sample), (np.inf, prefixes[0], 1.0)
+    if n <= k + 1:
+        return best[1:]
+    for prefix in prefixes:
+        shard = Shard(np.arange(n), np.ones(n, np.int64), sample, pivots, prefix)
+        base, ranks = shard.vectors, []
+        asked = np.unique(np.linspace(0, len(base) - 1, probes).astype(int))
+        for q, order in zip(asked, orders(base[asked], pivots, shard.prefix)):
+            saved, d = shard.saved(order), ((base - base[q]) ** 2).sum(1)
+            saved[q], d[q] = -1.0, np.inf
+            near = np.argsort(d, kind="stable")[: min(k, len(base) - 1)]
+            ranks += [int((saved >= saved[i]).sum()) for i in near]
+        share = min(1.0, float(np.quantile(ranks, recall)) / len(base)) if ranks else 1.0
+        work = shard.postings / len(asked) / len(base) + share * sample.shape[1]
+        best = min(best, (work, prefix, share))
+    return best[1:]
+
+
+def shards_of(rows: int) -> int:
+    size = min(MOST_SHARD, max(LEAST_SHARD, int(64 * rows**0.5)))
+    return max(1, -(-rows // size))
+
+
+_FOUND = "query_id long, asked long, vec_id long, score double"
+_FOUND_SCHEMA = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, pivots: int, prefix: int | None, share: float | None) -> DataFrame:
+    """search() for vectors of one length; the best of every shard, not yet put together."""
+    sample = vectors.orderBy(F.xxhash64("vec_id", "v", F.lit(11)), "vec_id").limit(SAMPLE).select("v").collect()
+    rows = np.array([r["v"] for r in sample])
+    chosen = pivots_of(rows, pivots)
+    prefix, tuned = fitted(rows, chosen, k, (prefix,) if prefix else PREFIXES)
+    share = tuned if share is None else share
+    shards = shards_of(vectors.count())
+    key = F.xxhash64("vec_id", "v").alias("asked")
+    mine = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "vec_id", "n", "v", key)
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "n", "v", key)
+    together = mine.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index, now = [], None, None
+
+        for x in batches:
+            shard, query = np.asarray(x.column("shard")), x.column("query").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = x.slice(a, b - a)
+                ids, v = np.asarray(part.column("vec_id")), np.asarray(part.column("v").flatten()).reshape(b - a, -1)
+                if shard[a] != now:
+                    held, index, now = [], None, shard[a]
+                if not query[a]:
+                    held.append((ids, np.asarray(part.column("n")), v))
+                elif held or index:
+                    if index is None:
+                        index, held = Shard(*(np.concatenate(h) for h in zip(*held)), chosen, prefix), []
+                    got = [(k_, s, i) for k_, q, vec, o in zip(range(b - a), ids.tolist(), v, orders(v, chosen, index.prefix)) for s, i in index.nearest(q, vec, o, k, share)]
+                    at, score, found = (np.array(c) for c in zip(*got)) if got else (np.zeros(0, int),) * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.asarray(part.column("asked"))[at]), pa.array(found, pa.int64()), pa.array(score, pa.float64())], schema=_FOUND_SCHEMA)
+
+    return together.mapInArrow(run, _FOUND)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, prefix: int | None = None, share: float | None = None) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k nearest found, ties to the smaller vec_id.
 
-    vectors, queries: (vec_id, v) as usable() gives them. A row with the query's own vec_id is no
-    candidate. With k or fewer candidates all are returned; without queries or vectors there are no rows.
-    The index is fitted (pivots chosen) on the SAMPLE rows of lowest hash; every row is indexed.
+    vectors, queries: (vec_id, v, n) as usable() gives them. Every row is a candidate (rows that repeat each
+    count) but for one row of the query's own vec_id and vector; rows that repeat vec_id and vector are one
+    query. Vectors of different lengths have no distance: each length is searched on its own. With k or
+    fewer candidates all are returned; without queries or vectors there are no rows. Pivots, and the prefix
+    and the share that is reranked unless they are given, are fitted on the SAMPLE rows of lowest hash; every
+    row is indexed; share=1 gives the exact answer.
     """
-    spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).select("v").collect()
-    out = "query_id long, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = pivots_of(np.array([r["v"] for r in sample]), pivots)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == b).collect()
-        ids = np.array([r["vec_id"] for r in rows], np.int64)
-        asked = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
-        block = spark.sparkContext.broadcast((ids, asked, orders(asked, chosen, prefix) if len(rows) else None, chosen))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, asked, order, chosen = block.value
-
-            def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                all_ids = np.concatenate([np.asarray(x.column("vec_id")) for x in held])
-                v = np.concatenate([np.asarray(x.column("v").flatten()).reshape(x.num_rows, -1) for x in held])
-                shard = Shard(all_ids, v, chosen, prefix, k + 1)
-                rows = [(int(q), i, s) for q, vec, o in zip(ids, asked, order if len(ids) else ()) for s, i in shard.nearest(q, vec, o, k, rerank_share, rerank_least)]
-                q, i, s = zip(*rows) if rows else ((), (), ())
-                return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], schema=schema)
-
-            held, n = [], 0
-            for x in batches:
-                for at in range(0, x.num_rows, SHARD):
-                    part = x.slice(at, SHARD)
-                    if n and n + part.num_rows > SHARD:
-                        yield answer(held)
-                        held, n = [], 0
-                    held.append(part)
-                    n += part.num_rows
-            if n:
-                yield answer(held)
-
-        part = vectors.mapInArrow(run, out)
-        found = part if found is None else found.union(part)
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    best = found.distinct().withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    found = vectors.sparkSession.createDataFrame([], _FOUND)
+    for row in queries.select(F.size("v").alias("size")).distinct().join(vectors.select(F.size("v").alias("size")).distinct(), "size").orderBy("size").collect():
+        same = F.size("v") == row["size"]
+        found = found.union(_found(vectors.where(same), queries.where(same), k, pivots, prefix, share))
+    order = W.partitionBy("query_id", "asked").orderBy("score", "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 

@@ -25,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.blocks import mixed64
+from quern.llm.blocks import mixed64, powers
 from quern.llm.common import doc_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 6
+#: Copies of a text whose samples are drawn together, without replacement.
+MOST_COPIES = 8
 #: Piece scores follow Zipf's law in the vocabulary's own order: -POWER * log(rank + SHIFT).
 POWER, SHIFT = 1.0, 10.0
 #: Characters of text whose lattices a worker holds at once (a longer text is taken alone).
@@ -39,6 +42,7 @@ CHUNK_CHARS = 400_000
 #: Nodes of the lattices that a worker keeps between its batches (some 100 bytes each); beyond, it starts anew.
 MAX_NODES = 1_500_000
 SPACE = "▁"
+#: What a piece of the vocabulary may be: a unit, or a part of one.
 _UNIT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -124,15 +128,44 @@ class _Grown:
         self.n += len(more)
 
 
-class _Places(dict):
-    """Unit -> place; a unit looked up for the first time goes to the list `fresh`."""
+class _Table:
+    """64-bit keys with a number each, in open addressing, looked up by whole arrays."""
 
-    fresh: list[str]
+    def __init__(self):
+        self.keys, self.numbers = _Grown(np.uint64), _Grown(np.int64)
+        self._make(12)
 
-    def __missing__(self, unit: str) -> int:
-        self.fresh.append(unit)
-        self[unit] = place = -len(self.fresh)
-        return place
+    def _make(self, bits: int) -> None:
+        self.bits, self.slots, self.at = bits, np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key (none of them 0), or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        left, mask = np.arange(len(keys)), np.int64((1 << self.bits) - 1)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            here = self.slots[slot]
+            hit = here == keys[left]
+            out[left[hit]] = self.at[slot[hit]]
+            on = ~hit & (here != 0)
+            left, slot = left[on], (slot[on] + 1) & mask
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Add distinct keys that it lacks."""
+        self.keys.add(keys)
+        self.numbers.add(numbers)
+        if 3 * self.keys.n > 1 << self.bits:
+            self._make(max(12, (6 * self.keys.n).bit_length()))
+            keys, numbers = self.keys.held[: self.keys.n], self.numbers.held[: self.numbers.n]
+        left, mask = np.arange(len(keys)), np.int64((1 << self.bits) - 1)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = keys[left[free]]  # of several that claim a slot, one gets it
+            won = self.slots[slot] == keys[left]
+            self.at[slot[won]] = numbers[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & mask
 
 
 class Lattices:
@@ -141,6 +174,7 @@ class Lattices:
     Every length of piece is tried at all places at once, by rolling hash, as long as what has been read
     is the beginning of some piece. logp is an edge's score given its node, from the backward sums; upto is
     the chance of a node's edges up to each one. A unit's lattice does not depend on the units it was built with.
+    Units are told apart by a 64-bit hash (who uses them can check what comes out against the text).
     """
 
     def __init__(self, v: Vocabulary, max_nodes: int = MAX_NODES):
@@ -148,9 +182,8 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        #: Unit -> its first node, or -1 - its place in fresh until its lattice is built.
-        self.base, self.fresh = _Places(), []
-        self.base.fresh = self.fresh
+        #: Hash of a unit -> its first node.
+        self.base = _Table()
         self._first, self._count, self._target, self._piece = _Grown(np.int64), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32)
         self._logp, self._upto = _Grown(np.float64), _Grown(np.float64)
         self._show()
@@ -158,25 +191,31 @@ class Lattices:
     def _show(self) -> None:
         self.first, self.count, self.target, self.piece, self.logp, self.upto = (g.held for g in (self._first, self._count, self._target, self._piece, self._logp, self._upto))
 
-    def starts(self, units: list[list[str]]) -> list[np.ndarray]:
-        """The first node of every unit; units not met before get their lattices."""
+    def starts(self, texts: list[str]) -> list[np.ndarray]:
+        """The first node of every unit of each text; units not met before get their lattices."""
         if self._count.n > self.max_nodes:
             self.clear()
-        found = [np.fromiter(map(self.base.__getitem__, us), np.int64, len(us)) for us in units]
-        if self.fresh:
-            base = self._build(self.fresh)
-            for x in found:
-                new = x < 0
-                x[new] = base[-1 - x[new]]
-            self.base.update(zip(self.fresh, base.tolist()))
-            self.fresh.clear()
-        return found
-
-    def _build(self, fresh: list[str]) -> np.ndarray:
+        code, firsts, cuts = units_of(texts)
+        if not len(firsts):
+            return [firsts] * len(texts)
+        lengths = np.diff(np.append(firsts, len(code)))
+        place = np.arange(len(code)) - np.repeat(firsts, lengths)
+        value = (code.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
+        key = mixed64(np.add.reduceat(value, firsts) + lengths.astype(np.uint64)) | np.uint64(1)
+        node = self.base.get(key)
+        new = np.flatnonzero(node < 0)
+        if len(new):
+            fresh, at, which = np.unique(key[new], return_index=True, return_inverse=True)
+            spread, _, _ = _spread(firsts[new[at]], lengths[new[at]])
+            base = self._build(code[spread].astype(np.int64), lengths[new[at]])
+            self.base.put(fresh, base)
+            node[new] = base[which]
+        return [node[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _build(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Lattices of units of these sizes, whose characters are in code; the first node of each."""
         v, nodes0, edges0 = self.v, self._count.n, self._target.n
-        code = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        node = np.arange(len(code)) + np.repeat(np.arange(len(fresh)), sizes)  # one node more at the end of each unit
+        node = np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)  # one node more at the end of each unit
         base = np.cumsum(sizes + 1) - (sizes + 1)
         left = np.repeat(base + sizes, sizes) - node
         at, h, length = np.arange(len(code)), np.zeros(len(code), np.uint64), 0
@@ -194,7 +233,7 @@ class Lattices:
             at, h = at[alive], h[alive]
         lone = np.flatnonzero(~single)
         octets = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
-        nodes = len(code) + len(fresh)
+        nodes = len(code) + len(sizes)
         counts = np.zeros(nodes, np.int64)
         counts[node[lone]] = 1
         for places, _, _ in found:
@@ -254,9 +293,19 @@ def _roll(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (h + code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))
 
 
-def units_of(text: str) -> list[str]:
-    """The units of a text whose blanks are shown as U+2581."""
-    return _UNIT.findall(text)
+def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all texts, where each unit starts in them, where each text's units start among the units).
+
+    Blanks are shown as U+2581. A unit is a line break, or a run of blanks and the others that follow it.
+    """
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    blank, line_end = code == ord(SPACE), code == 10
+    start = line_end.copy()
+    start[1:] |= line_end[:-1] | (blank[1:] & ~blank[:-1])
+    start[np.append(0, ends[:-1])[ends > np.append(0, ends[:-1])]] = True
+    firsts = np.flatnonzero(start)
+    return code, firsts, np.searchsorted(firsts, np.append(0, ends))
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -363,9 +412,8 @@ def sample_paths(v: Vocabulary, texts: list[str], seeds: np.ndarray, samples: in
     The inclusion score is the chance that the path's noise reaches the first perturbed score left out
     (1 if nothing is left out): -log of it weighs a sample in estimates.
     """
-    units = [units_of(t) for t in texts]
     lat = lat or Lattices(v)
-    starts = lat.starts(units)
+    starts = lat.starts(texts)
     n = len(texts)
     bound0 = _gumbel(mixed64(seeds))
     sizes = np.array([len(s) for s in starts], np.int64)
@@ -470,63 +518,94 @@ def decoded(ids: list[int], v: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _seed(doc_id: int | None, text: str, seed: int) -> int:
-    return xxhash.xxh64_intdigest(f"{seed}:{doc_id}" if doc_id is not None else f"{seed}::{text}")
+def _seed(doc_id: int | None, text: str, seed: int, part: int = 0) -> int:
+    name = f"{seed}:{doc_id}" if doc_id is not None else f"{seed}::{text}"
+    return xxhash.xxh64_intdigest(f"{name}/{part}" if part else name)
 
 
 ENCODED = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
-
-
-def encode(docs: DataFrame, model_file: str = MODEL, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+_SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()),
+    ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_()),
+])
+
+
+class _Encoder:
+    """Rows (doc_id, text, copies, part) to record batches, with the lattices kept between them."""
+
+    def __init__(self, v: Vocabulary, samples: int, seed: int):
+        self.v, self.samples, self.seed, self.lattices = v, samples, seed, Lattices(v)
+
+    def encoded(self, rows: list[tuple[int | None, str, int, int]]) -> Iterator[pa.RecordBatch]:
+        for copies in sorted({r[2] for r in rows}):
+            own = [r for r in rows if r[2] == copies]
+            seeds = np.array([_seed(i, t, self.seed, part) for i, t, _, part in own], np.uint64)
+            shown, most = [_shown(t) for _, t, _, _ in own], self.samples * copies
+            paths = sample_paths(self.v, shown, seeds, most, self.lattices)
+            made, wrong = self._batch(own, paths)
+            if wrong:
+                # Two units had one hash: these texts get lattices of their own.
+                for i in wrong:
+                    paths[i] = sample_paths(self.v, shown[i : i + 1], seeds[i : i + 1], most)[0]
+                made, _ = self._batch(own, paths)
+            yield made
+
+    def _batch(self, rows: list, paths: list) -> tuple[pa.RecordBatch, list[int]]:
+        """The rows of all paths, and the texts that did not come out as they were."""
+        v = self.v
+        of = [i for i, got in enumerate(paths) for _ in got]
+        each = [p for got in paths for p in got]
+        pieces = np.concatenate([p[0] for p in each])
+        ends = np.cumsum([len(p[0]) for p in each])
+        ids, sizes = expanded(pieces, v)
+        offsets = np.concatenate([[0], np.cumsum(sizes)[ends - 1]]).astype(np.int32)
+        octets, widths = octets_of(ids, v)
+        cuts = np.concatenate([[0], np.cumsum(widths)])[offsets]
+        whole = [(" " + r[1]).encode("utf-8", "surrogatepass") for r in rows]
+        same = [octets[a:b] == whole[i] for i, a, b in zip(of, cuts[:-1].tolist(), cuts[1:].tolist())]
+        number = [rows[i][3] * MOST_COPIES * self.samples + k + 1 for i, got in enumerate(paths) for k in range(len(got))]
+        made = pa.RecordBatch.from_arrays([
+            pa.array([rows[i][0] for i in of], pa.int64()), pa.array(number, pa.int32()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), *(pa.array([p[k] for p in each], pa.float64()) for k in (1, 2, 3)), pa.array(same),
+        ], schema=_SCHEMA)
+        return made, sorted({i for i, ok in zip(of, same) if not ok})
+
+
+def encode(docs: DataFrame, model_file: str = MODEL, samples: int = SAMPLES, seed: int = SEED, by_copies: bool = False) -> DataFrame:
     """Up to `samples` rows per document: doc_id, sample (from 1, by falling perturbed score), ids, log_prob,
     perturbed, log_inclusion, round_trip (whether decoding the ids gives the text back).
 
     Null and empty texts have the one segmentation of the blank that precedes every text. Rows that
-    repeat a doc_id share its seed; null doc_ids are seeded by the text. An empty table gives no rows;
-    other columns are ignored. Whole texts are encoded, of any length.
+    repeat a doc_id share its seed; null doc_ids are seeded by the text. With by_copies, rows of one
+    doc_id and text are counted and get samples apart: as many for each copy, all distinct within
+    MOST_COPIES copies, further ones from a seed of their own. An empty table gives no rows; other
+    columns are ignored. Whole texts are encoded, of any length.
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model_file))  # as large as the model file, no more
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()),
-        ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_()),
-    ])
+    rows = doc_texts(docs)
+    if by_copies:
+        counted = rows.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+        parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / MOST_COPIES).cast("int"))))
+        rows = parts.select("doc_id", "text", F.least(F.lit(MOST_COPIES), F.col("n") - F.col("part") * MOST_COPIES).cast("int").alias("copies"), "part")
+    else:
+        rows = rows.select("doc_id", "text", F.lit(1).alias("copies"), F.lit(0).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        lattices = Lattices(v)
-
-        def work(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
-            seeds = np.array([_seed(i, t, seed) for i, t in rows], np.uint64)
-            paths = sample_paths(v, [_shown(t) for _, t in rows], seeds, samples, lattices)
-            of = [i for i, got in enumerate(paths) for _ in got]
-            each = [p for got in paths for p in got]
-            pieces = np.concatenate([p[0] for p in each])
-            ends = np.cumsum([len(p[0]) for p in each])
-            ids, sizes = expanded(pieces, v)
-            offsets = np.concatenate([[0], np.cumsum(sizes)[ends - 1]]).astype(np.int32)
-            octets, widths = octets_of(ids, v)
-            cuts = np.concatenate([[0], np.cumsum(widths)])[offsets]
-            whole = [(" " + t).encode("utf-8", "surrogatepass") for _, t in rows]
-            same = [octets[a:b] == whole[i] for i, a, b in zip(of, cuts[:-1].tolist(), cuts[1:].tolist())]
-            return pa.RecordBatch.from_arrays([
-                pa.array([rows[i][0] for i in of], pa.int64()), pa.array([k + 1 for got in paths for k in range(len(got))], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), *(pa.array([p[k] for p in each], pa.float64()) for k in (1, 2, 3)), pa.array(same),
-            ], schema=schema)
-
+        encoder = _Encoder(vocabulary.value, samples, seed)
         held, chars = [], 0
         for x in batches:
-            for doc_id, text in zip(x.column("doc_id").to_pylist(), x.column("text")):
+            for doc_id, text, copies, part in zip(x.column("doc_id").to_pylist(), x.column("text"), x.column("copies").to_pylist(), x.column("part").to_pylist()):
                 t = text.as_py() or ""
-                held.append((doc_id, t))
+                held.append((doc_id, t, copies, part))
                 chars += len(t)
                 if chars >= CHUNK_CHARS or len(held) >= 2000:
-                    yield work(held)
+                    yield from encoder.encoded(held)
                     held, chars = [], 0
         if held:
-            yield work(held)
+            yield from encoder.encoded(held)
 
-    return doc_texts(docs).mapInArrow(run, ENCODED)
+    return rows.mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:

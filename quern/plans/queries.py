@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from quern.functions import formats, outline, text
 from quern.operators import snapshot
 from quern.plans import index, search
+from quern.plans.index import IndexStore
 from quern.plans.search import SearchParams
+from quern.session import forget_at_exit, shared_dir
 from quern.streaming import changes
 
 GAP = "6 hours"
@@ -35,6 +38,19 @@ def corpus(spark: SparkSession, sf_dir: str, limit: int = 20_000_000) -> DataFra
     )
 
 
+_STORES: dict[tuple[str, str], IndexStore] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """The index of the corpus, built once per application and folder, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        root = f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}"
+        _STORES[key] = IndexStore.build(corpus(spark, sf_dir), root)
+        forget_at_exit(spark, root)
+    return _STORES[key]
+
+
 # --- SQL pieces --------------------------------------------------------------------------------------
 
 _DOCS = r"""docs as (
@@ -86,18 +102,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("bm25_content_topk", f"with {_DOCS}, {_bm25_sql([('content', ['the', 'que'])])} select path, round(score, 6) as score from scored order by score desc, path limit 10")
 def bm25_content_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: ranked search for two words of the content."""
-    d = corpus(spark, sf_dir)
-    tree = search.Q.parse("content:the content:que", ("content",))
-    m = search.scan(d, tree)
-    p = SearchParams(max_results=10)
-    found = m.rows.where(m.match(tree)).select(*search.KEYS, m.score(tree).alias("score"))
-    return _top(search.top(found, p)).select("path", "score")
+    """The flagship: ranked search for two words of the content, from their postings."""
+    return _content_topk(search.Q.parse("content:the content:que", ("content",)), indexed(spark, sf_dir))
+
+
+def _content_topk(tree: search.Q.Node, store: IndexStore | None, docs: DataFrame | None = None) -> DataFrame:
+    m = store.measure(None, tree) if store else search.scan(docs, tree)
+    found = m.rows.where(m.match(tree)).select("path", m.score(tree).alias("score"))
+    return _top(search.top(found, SearchParams(max_results=10))).select("path", "score")
+
+
+@query("bm25_scan", ORACLE_SQL["bm25_content_topk"])
+def bm25_scan(spark, sf_dir):
+    """The same without an index: terms are counted inside the documents' rows."""
+    return _content_topk(search.Q.parse("content:the content:que", ("content",)), None, corpus(spark, sf_dir))
 
 
 def _search(spark: SparkSession, sf_dir: str, p: SearchParams) -> DataFrame:
-    d = corpus(spark, sf_dir)
-    return _top(search.top(search.hits(d, p), p)).select("path", "score")
+    """The first rows of a search by the index."""
+    store = indexed(spark, sf_dir)
+    rows = search.first(store.docs, p, store.measure)
+    return _top(spark.createDataFrame([(r["path"], r["score"]) for r in rows], "path string, score double"))
+
+
+def _hits(spark: SparkSession, sf_dir: str, p: SearchParams) -> DataFrame:
+    store = indexed(spark, sf_dir)
+    return search.hits(store.docs, p, store.measure)
 
 
 @query("bm25_multi_field", f"with {_DOCS}, {_bm25_sql([('path', ['src3', 'the']), ('filename', ['src3', 'the']), ('content', ['src3', 'the'])])} select path, round(score, 6) as score from scored order by score desc, path limit 50")
@@ -126,7 +156,7 @@ _MATCH = "with {docs} select path, size, 0.0::double as score from docs order by
 def _match_all(by: str, order: str, n: int) -> Query:
     def run(spark, sf_dir):
         p = SearchParams(sort_by=by, sort_order=order, max_results=n)
-        return search.top(search.hits(corpus(spark, sf_dir), p), p).select("path", "size", "score")
+        return search.top(_hits(spark, sf_dir, p), p).select("path", "size", "score")
 
     return run
 
@@ -142,7 +172,7 @@ def search_limit_clamp(spark, sf_dir):
 
 @query("search_total_hits", f"with {_DOCS}, toks as (select {_tokens('text')} as w, {_tokens('path')} as p from docs) select count(*) as total from toks where list_contains(w, 'les') or list_contains(p, 'les')")
 def search_total_hits(spark, sf_dir):
-    return search.hits(corpus(spark, sf_dir), SearchParams(q="les")).agg(F.count("*").alias("total"))
+    return _hits(spark, sf_dir, SearchParams(q="les")).agg(F.count("*").alias("total"))
 
 
 @query("term_fallback_query", f"with {_DOCS}, {_bm25_sql([('path', ['the', 'unmatched']), ('filename', ['the', 'unmatched']), ('content', ['the', 'unmatched'])])} select path, round(score, 6) as score from scored order by score desc, path limit 50")
@@ -153,17 +183,17 @@ def term_fallback_query(spark, sf_dir):
 
 @query("search_boolean", f"with {_DOCS}, t as (select path, {_tokens('text')} as c, {_tokens('path')} as p, {_tokens('filename')} as f from docs) select path from t where (list_contains(c, 'the') and list_contains(c, 'is') and not list_contains(c, 'was')) or ((list_contains(p, 'the') or list_contains(f, 'the')) and (list_contains(p, 'is') or list_contains(f, 'is')) and not (list_contains(p, 'was') or list_contains(f, 'was')))")
 def search_boolean(spark, sf_dir):
-    return search.hits(corpus(spark, sf_dir), SearchParams(q="+the +is -was")).select("path")
+    return _hits(spark, sf_dir, SearchParams(q="+the +is -was")).select("path")
 
 
 @query("search_phrase", f"with {_DOCS}, t as (select path, ' ' || array_to_string({_tokens('text')}, ' ') || ' ' as c from docs) select path from t where c like '% of the %'")
 def search_phrase(spark, sf_dir):
-    return search.hits(corpus(spark, sf_dir), SearchParams(q='content:"of the"')).select("path")
+    return _hits(spark, sf_dir, SearchParams(q='content:"of the"')).select("path")
 
 
 @query("search_size_range", f"with {_DOCS} select path, size from docs where size >= 1000 and size < 2000 and extension = 'txt'")
 def search_size_range(spark, sf_dir):
-    return search.hits(corpus(spark, sf_dir), SearchParams(q="size:[1000 TO 2000}", ext="txt")).select("path", "size")
+    return _hits(spark, sf_dir, SearchParams(q="size:[1000 TO 2000}", ext="txt")).select("path", "size")
 
 
 @query("term_stats", f"with {_DOCS}, t as (select path, unnest({_tokens('text')}) as term from docs), c as (select path, term, count(*) as tf from t group by all) select term, count(*) as df, sum(tf)::bigint as cf from c group by term")
@@ -403,7 +433,8 @@ def html_outline(spark, sf_dir):
 
 @query("snippet_html")
 def snippet_html(spark, sf_dir):
-    return search.search(corpus(spark, sf_dir), SearchParams(q="the", max_results=20), as_html=True)
+    store = indexed(spark, sf_dir)
+    return search.search(store.docs, SearchParams(q="the", max_results=20), as_html=True, measure=store.measure)
 
 
 @query("rst_to_md")

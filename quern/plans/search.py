@@ -1,8 +1,8 @@
 """Ranked search as DataFrame plans: BM25 over matched clauses, filters, sort orders, totals, snippets.
 
-Two ways lead to the same frame of term frequencies: `scan` counts the query's terms inside each
-document's row (one narrow pass, nothing but counts leaves the scan), `Index.measure` reads the query's
-postings alone. Either way the text is joined only to the top rows, for their snippets.
+Two ways lead to the same frame of term frequencies: `IndexStore.measure` reads the query's postings alone;
+`scan` counts the query's terms inside each document's row, for documents without an index. Either way
+the text is read only for the top rows, for their snippets.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import time
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quern.functions.text import rfc3339, tokens
@@ -82,13 +82,17 @@ def _with_parts(leaves: list[Q.Leaf]) -> list[Q.Leaf]:
 
 @dataclass(frozen=True)
 class Measured:
-    """rows: path, dl_<field>, tf_<i> and the sort keys; n, total length by field, document frequency by leaf."""
+    """rows: path, dl_<field>, tf_<i> and the sort keys; n, total length by field, document frequency by leaf.
+
+    keys: the sort keys by path, where rows have the path alone.
+    """
 
     rows: DataFrame
     leaves: list[Q.Leaf]
     n: int
     lengths: dict[str, int]
     df: dict[Q.Leaf, int]
+    keys: DataFrame | None = None
 
     def tf(self, leaf: Q.Leaf) -> Column:
         return F.col(f"tf_{self.leaves.index(leaf)}")
@@ -179,13 +183,19 @@ def scan(docs: DataFrame, tree: Q.Node) -> Measured:
     return Measured(rows, leaves, got["n"], {f: got[f"dl_{f}"] or 0 for f in texts}, {x: got[f"df_{i}"] for i, x in enumerate(leaves)})
 
 
-def hits(docs: DataFrame, p: SearchParams, measure=scan) -> DataFrame:
-    """All matching documents with their score; not sorted. score is 0 unless sorting by score."""
+def _matched(docs: DataFrame, p: SearchParams, measure) -> tuple[DataFrame, DataFrame | None]:
+    """(the matching documents with their score, the sort keys where those lack them)."""
     tree = query_tree(p)
     m = measure(docs, tree)
     scored = tree if p.score_filters or not isinstance(tree, Q.Bool) else Q.Bool(must=tree.must[: 1 if p.q != "" else 0])
     score = (m.score(scored) if isinstance(tree, Q.Bool) else F.lit(1.0)) if _by_score(p) else F.lit(0.0)
-    return m.rows.where(m.match(tree)).select(*KEYS, score.cast("double").alias("score"))
+    return m.rows.where(m.match(tree)).select(*(KEYS if m.keys is None else ["path"]), score.cast("double").alias("score")), m.keys
+
+
+def hits(docs: DataFrame, p: SearchParams, measure=scan) -> DataFrame:
+    """All matching documents with their score; not sorted. score is 0 unless sorting by score."""
+    found, keys = _matched(docs, p, measure)
+    return found if keys is None else keys.join(found, "path")
 
 
 def _by_score(p: SearchParams) -> bool:
@@ -202,27 +212,44 @@ def top(found: DataFrame, p: SearchParams) -> DataFrame:
     return found.orderBy(*order).limit(p.limit)
 
 
-def search(docs: DataFrame, p: SearchParams, as_html: bool = False, measure=scan) -> DataFrame:
+def first(docs: DataFrame, p: SearchParams, measure=scan, total: Observation | None = None) -> list[dict]:
+    """The first rows in order, with sort keys and score: at most MOST of them. total counts all matches in the same pass."""
+    found, keys = _matched(docs, p, measure)
+    if keys is not None and not _by_score(p):
+        found, keys = keys.join(found, "path"), None
+    if total is not None:
+        found = found.observe(total, F.count(F.lit(1)).alias("n"))
+    rows = [r.asDict() for r in top(found, p).collect()]
+    if keys is None:
+        return rows
+    known = {r["path"]: r.asDict() for r in keys.where(F.col("path").isin([r["path"] for r in rows])).collect()} if rows else {}
+    return [known[r["path"]] | r for r in rows]
+
+
+_RESULT = "path string, filename string, dir string, size long, modified timestamp, extension string, has_content boolean, score double"
+
+
+def search(docs: DataFrame, p: SearchParams, as_html: bool = False, measure=scan, total: Observation | None = None) -> DataFrame:
     """path, filename, dir, size, modified (RFC 3339), extension, has_content, score, snippet; in order."""
-    best = top(hits(docs, p, measure), p)
+    rows = first(docs, p, measure, total)
+    names = [c.split()[0] for c in _RESULT.split(", ")]
+    best = docs.sparkSession.createDataFrame([(k, *(r[c] for c in names)) for k, r in enumerate(rows)], f"place int, {_RESULT}")
+    best = best.withColumn("modified", rfc3339(F.col("modified")))
     terms = sorted({t for x in Q.leaves(Q.lenient(p.q, ("content",))) for t in x.terms}) if p.q != "" else []
-    shown = best.select("path", "filename", "dir", "size", rfc3339(F.col("modified")).alias("modified"), "extension", "has_content", "score")
     if not terms:
-        return shown.withColumn("snippet", F.lit(""))
-    # At most MOST rows: the text is fetched for them alone.
-    texts = docs.select("path", "text").join(F.broadcast(best.select("path")), "path", "left_semi")
+        return best.orderBy("place").drop("place").withColumn("snippet", F.lit(""))
+    # At most MOST paths: their texts alone are read.
+    texts = docs.where(F.col("path").isin([r["path"] for r in rows])).select("path", "text")
     made = snippet_udf(terms, as_html)
-    order = [F.desc("score"), F.asc("path")] if _by_score(p) else [F.asc(p.sort_by) if p.sort_order == "asc" else F.desc(p.sort_by), F.asc("path")]
-    with_text = shown.join(texts, "path", "left").withColumn("snippet", F.when(F.col("has_content"), made("text")).otherwise(""))
-    return with_text.drop("text").orderBy(*order)
+    with_text = best.join(texts, "path", "left").withColumn("snippet", F.when(F.col("has_content"), made("text")).otherwise(""))
+    return with_text.orderBy("place").select(*names, "snippet")
 
 
 def response(docs: DataFrame, p: SearchParams, as_html: bool = False, measure=scan) -> dict:
     """The result rows with total, elapsed time and the limit used."""
-    began = time.time()
-    total = hits(docs, p, measure).count()
-    rows = [r.asDict() for r in search(docs, p, as_html, measure).collect()]  # at most MOST rows
-    return {"results": rows, "total": total, "search_time_ms": int(1000 * (time.time() - began)), "limit_applied": p.limit}
+    began, total = time.time(), Observation()
+    rows = [r.asDict() for r in search(docs, p, as_html, measure, total).collect()]  # at most MOST rows
+    return {"results": rows, "total": total.get["n"], "search_time_ms": int(1000 * (time.time() - began)), "limit_applied": p.limit}
 
 
 def best_fragment(text: str, terms: list[str]) -> tuple[str, list[tuple[int, int]]]:

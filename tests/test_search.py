@@ -8,7 +8,7 @@ import pytest
 
 from quern.plans import query as Q
 from quern.plans import search
-from quern.plans.index import Index
+from quern.plans.index import IndexStore
 from quern.plans.search import SearchParams
 from quern.schema import DOCS
 
@@ -29,7 +29,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def index(docs, tmp_path_factory):
-    return Index.build(docs, f"file://{tmp_path_factory.mktemp('index')}")
+    return IndexStore.build(docs, f"file://{tmp_path_factory.mktemp('index')}")
 
 
 def found(docs, **p):

@@ -1,4 +1,4 @@
-"""Converters to Markdown: HTML, reStructuredText, EPUB; PDF by a registered converter. Standard library only.
+"""Converters to Markdown: HTML, reStructuredText, EPUB, PDF (pdf.py). Standard library only.
 
 Each converter takes bytes; `convert` applies them in Arrow batches, after sizes over the limit were nulled, so no oversized file reaches
 Python. A converter that fails gives null text, which means has_content = false.
@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.pdf import pdf_markdown
+
 
 # --- HTML -------------------------------------------------------------------------------------------
 
@@ -337,22 +339,18 @@ def read_archive_entry(archive: str, inner: str, max_bytes: int) -> bytes:
 # --- registry ----------------------------------------------------------------------------------------
 
 
-def _no_pdf(raw: bytes) -> str:
-    raise NotImplementedError("no PDF converter is registered")
-
-
 Converter = Callable[[bytes], str]
 CONVERTERS: dict[str, Converter] = {
     "Html": lambda raw: html_markdown(decode_html(raw)),
     "Rst": lambda raw: rst_markdown(raw.decode("utf-8", "replace")),
     "Epub": epub_markdown,
-    "Pdf": _no_pdf,
+    "Pdf": pdf_markdown,
     **dict.fromkeys(("Text", "Markdown", "Python", "Rust"), lambda raw: raw.decode("utf-8", "replace")),
 }
 
 
 def register(format_name: str, converter: Converter) -> None:
-    """Use converter (bytes to text) for a format from now on, e.g. for Pdf."""
+    """Use converter (bytes to text) for a format from now on."""
     CONVERTERS[format_name] = converter
 
 

@@ -1,10 +1,8 @@
-"""Incremental indexing: snapshot differences, change application, and the versioned snapshot store."""
+"""Incremental indexing: snapshot differences and the application of changes (the index that keeps them: plans/index.py)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import hidden_component, hidden_name
@@ -79,41 +77,3 @@ def apply_changes(docs: DataFrame, changes: DataFrame, fresh: DataFrame) -> Data
     kept = docs.join(touched.union(below).distinct(), "path", "left_anti")
     added = fresh.join(surviving_adds(changes).select("path"), "path", "left_semi")
     return kept.unionByName(added.select(*docs.columns))
-
-
-@dataclass
-class SnapshotStore:
-    """Versions of a table under one root: a version is written whole, then the pointer is moved to it.
-
-    Readers always open the last committed version; a failed write leaves the pointer alone.
-    """
-
-    spark: SparkSession
-    root: str
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.root)):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(path(self.root)) if s.getPath().getName().startswith("v") and fs.exists(path(f"{self.root}/committed-{s.getPath().getName()[1:]}")))
-
-    def read(self) -> DataFrame | None:
-        v = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v{v[-1]:08d}") if v else None
-
-    def commit(self, df: DataFrame, keep: int = 2) -> int:
-        """Write df as the next version; the empty marker file, made last, is the pointer. Old versions go."""
-        fs, path = self._fs()
-        done = self.versions()
-        new = (done[-1] if done else 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{new:08d}")
-        fs.create(path(f"{self.root}/committed-{new:08d}"), True).close()
-        for old in done[: max(0, len(done) + 1 - keep)]:
-            fs.delete(path(f"{self.root}/committed-{old:08d}"), False)
-            fs.delete(path(f"{self.root}/v{old:08d}"), True)
-        return new

@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import os
 import sys
-from dataclasses import dataclass
+import threading
+import time
+from collections import OrderedDict
+from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, quote, urlsplit
 
@@ -18,10 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quern import config
 from quern.functions import formats, outline, text
 from quern.plans import search
+from quern.plans.index import IndexStore
 from quern.plans.search import DEFAULT_MCP, SearchParams
 
-PROTOCOL, LOG_CHARS = "2025-06-18", 128
+#: Protocol versions, routes, and (below) tool names and error codes that clients know.
+VERSIONS = ("2026-07-28", "2025-11-25")
 ROUTES = ["/", "/search", "/file", "/structure", "/stats", "/mcp"]
+LOG_BYTES, CACHE_BYTES = 128, 256 << 20
+log = logging.getLogger("quern.serve")
 
 
 class ApiError(Exception):
@@ -40,9 +48,41 @@ def with_dots(s: str, n: int = text.SNIPPET_BYTES) -> str:
 
 
 def compact(arguments: object) -> str:
-    """Arguments for the log: long strings cut."""
-    cut = lambda x: {k: cut(v) for k, v in x.items()} if isinstance(x, dict) else [cut(v) for v in x] if isinstance(x, list) else with_dots(x, LOG_CHARS) if isinstance(x, str) else x
-    return json.dumps(cut(arguments), ensure_ascii=False, separators=(",", ":"))
+    """Arguments for the log, ` (name=value, ...)`: plain values alone, long strings cut; '' for anything but an object."""
+    if not isinstance(arguments, dict):
+        return ""
+    shown = lambda v: json.dumps(v) if isinstance(v, bool | int | float) else v if len(v.encode("utf-8")) <= LOG_BYTES else cut_bytes(v, LOG_BYTES) + "…"
+    return f" ({', '.join(f'{k}={shown(v)}' for k, v in arguments.items() if isinstance(v, bool | int | float | str))})"
+
+
+class TextCache:
+    """Texts by path, the least recently used thrown out beyond a budget of bytes (and one more for each entry)."""
+
+    def __init__(self, budget: int = CACHE_BYTES):
+        self.budget, self.weight, self.held, self._lock = budget, 0, OrderedDict(), threading.Lock()
+
+    def get(self, path: str) -> tuple[str, str] | None:
+        with self._lock:
+            if path in self.held:
+                self.held.move_to_end(path)
+                return self.held[path][0]
+        return None
+
+    def put(self, path: str, value: tuple[str, str]) -> None:
+        size = len(value[1].encode("utf-8", "surrogatepass")) + 1
+        with self._lock:
+            self.weight -= self.held.pop(path, (None, 0))[1]
+            if size > self.budget:
+                return
+            self.held[path] = (value, size)
+            self.weight += size
+            while self.weight > self.budget:
+                self.weight -= self.held.popitem(last=False)[1][1]
+
+    def clear(self) -> None:
+        with self._lock:
+            self.held.clear()
+            self.weight = 0
 
 
 def _slice(body: str, start: int | None, end: int | None) -> str:
@@ -53,26 +93,34 @@ def _slice(body: str, start: int | None, end: int | None) -> str:
 
 @dataclass
 class Service:
-    """Search and reading over a frame of documents and the directory they come from."""
+    """Search and reading over documents (an index, or a frame without one) and the directory they come from."""
 
     spark: SparkSession
-    docs: DataFrame
+    source: IndexStore | DataFrame
     conf: config.Config
-    measure: object = search.scan
+    cache: TextCache = field(default_factory=TextCache)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.source.docs if isinstance(self.source, IndexStore) else self.source
 
     def search(self, p: SearchParams, as_html: bool) -> dict:
-        return search.response(self.docs, p, as_html, self.measure)
+        return search.response(self.docs, p, as_html, self.source.measure if isinstance(self.source, IndexStore) else search.scan)
 
     def load(self, path: str) -> tuple[str, str]:
-        """(format, normalised text) of one file."""
+        """(format, normalised text) of one file: from the cache, or checked, read and converted."""
         real = self._real(path)
+        if (held := self.cache.get(real)) is not None:
+            return held
         kind = text.FORMATS.get(os.path.splitext(real)[1][1:].lower())
         if kind is None:
             raise ApiError("UnsupportedFormat", f"{path}: unsupported format")
         try:
-            return kind, formats.CONVERTERS[kind](self._bytes(real, path))
+            made = kind, formats.CONVERTERS[kind](self._bytes(real, path))
         except (ValueError, KeyError, NotImplementedError, OSError) as e:
             raise ApiError("Conversion", f"{path}: {e}") from e
+        self.cache.put(real, made)
+        return made
 
     def _real(self, path: str) -> str:
         try:
@@ -105,7 +153,7 @@ class Service:
         return {"headers": found, "totalLines": len(outline.split_lines(body))}
 
     def stats(self) -> dict:
-        return {"total_files_indexed": self.docs.count()}
+        return {"total_files_indexed": self.source.manifest().docs if isinstance(self.source, IndexStore) else self.docs.count()}
 
     # --- tools -----------------------------------------------------------------------------------
 
@@ -177,7 +225,11 @@ def call_tool(service: Service, name: str, arguments: dict) -> dict:
         return {"content": [{"type": "text", "text": str(e)}], "isError": True}
 
 
-def json_rpc(service: Service, raw: str | bytes) -> dict | None:
+def _server() -> dict:
+    return {"name": "quern", "version": "0.1"}
+
+
+def json_rpc(service: Service, raw: str | bytes, transport: str = "http") -> dict | None:
     """The reply to one message; None for notifications and responses."""
     fail = lambda id_, code, message: {"jsonrpc": "2.0", "id": id_, "error": {"code": code, "message": message}}
     try:
@@ -191,8 +243,12 @@ def json_rpc(service: Service, raw: str | bytes) -> dict | None:
     if "id" not in m:
         return None
     method, params = m["method"], m.get("params") or {}
-    if method in ("initialize", "server/discover"):
-        result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "quern", "version": "0.1"}}
+    call = f" {params.get('name', '?')}{compact(params.get('arguments'))}" if method == "tools/call" and isinstance(params, dict) else ""
+    log.info("[%s] %s%s", transport, method, call)
+    if method == "initialize":
+        result = {"protocolVersion": VERSIONS[1], "capabilities": {"tools": {}}, "serverInfo": _server()}
+    elif method == "server/discover":
+        result = {"protocolVersion": VERSIONS[0], "serverCapabilities": {"tools": {}}, "serverInfo": _server(), "supportedVersions": list(VERSIONS)}
     elif method == "tools/list":
         result = {"tools": TOOLS}
     elif method == "tools/call":
@@ -217,7 +273,7 @@ def stdio(service: Service, source=None, sink=None) -> None:
             line = raw.decode("utf-8").strip()
         except UnicodeDecodeError:
             continue
-        if line and (reply := json_rpc(service, line)) is not None:
+        if line and (reply := json_rpc(service, line, "stdio")) is not None:
             try:
                 sink.write(json.dumps(reply, ensure_ascii=False) + "\n")
                 sink.flush()
@@ -225,7 +281,46 @@ def stdio(service: Service, source=None, sink=None) -> None:
                 return
 
 
-PAGE = """<!doctype html><meta charset="utf-8"><title>Search</title><form action="/search"><input name="q" autofocus><button>Search</button></form>"""
+PAGE = """<!doctype html>
+<html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width"><title>Search</title><style>
+body { font: 16px/1.5 system-ui, sans-serif; max-width: 60rem; margin: 2rem auto; padding: 0 1rem }
+form, fieldset { display: flex; flex-wrap: wrap; gap: .5rem; border: 0; padding: 0 }
+input[name=q] { flex: 1 1 20rem } article { margin: 1rem 0 } article a { font-weight: 600 } small { color: #666 } pre { white-space: pre-wrap; background: #f6f6f6; padding: 1rem }
+@media (prefers-color-scheme: dark) { body { background: #161616; color: #ddd } a { color: #8ab4f8 } pre { background: #222 } }
+</style></head><body>
+<form id="ask"><input name="q" placeholder="Words, &quot;a phrase&quot;, field:word, +must -not" autofocus><button>Search</button>
+<fieldset><input name="ext" size="6" placeholder="extension"><input name="path" placeholder="path words">
+<select name="sort_by"><option>score<option>modified<option>size<option>path</select><select name="sort_order"><option>desc<option>asc</select>
+<label><input type="checkbox" name="names_only"> names only</label></fieldset></form>
+<p id="facts"></p><main id="found"></main><aside id="shown"></aside>
+<script>
+const at = id => document.getElementById(id), make = (tag, text) => Object.assign(document.createElement(tag), { textContent: text });
+async function ask(event) {
+  event?.preventDefault();
+  const form = new FormData(at("ask")), asked = new URLSearchParams();
+  for (const [name, value] of form) if (value && name !== "names_only") asked.set(name, value);
+  if (form.get("names_only")) asked.set("search_content", "false");
+  const reply = await fetch("/search?" + asked), body = await reply.json();
+  at("found").replaceChildren(); at("shown").replaceChildren();
+  if (!reply.ok) return void (at("facts").textContent = body.error);
+  at("facts").textContent = `${body.total} found in ${body.search_time_ms} ms`;
+  for (const r of body.results) {
+    const row = make("article", ""), link = Object.assign(make("a", r.path), { href: "#", onclick: e => (e.preventDefault(), show(r.path)) }), snippet = make("div", "");
+    snippet.innerHTML = r.snippet;  // escaped by the server, but for its marks
+    row.append(link, make("small", `  ${r.size} bytes, ${r.modified}, ${r.score.toFixed(3)}`), snippet);
+    at("found").append(row);
+  }
+}
+async function show(path) {
+  const query = "path=" + encodeURIComponent(path), [text, outline] = await Promise.all([fetch("/file?" + query), fetch("/structure?" + query)]);
+  const heads = outline.ok ? (await outline.json()).headers : [], list = make("ul", "");
+  for (const h of heads) list.append(Object.assign(make("li", `${h.text} (${h.start_line}-${h.end_line})`), { style: `margin-left:${h.level}rem` }));
+  at("shown").replaceChildren(make("h2", path), list, make("pre", await text.text()));
+  at("shown").scrollIntoView();
+}
+at("ask").addEventListener("submit", ask);
+fetch("/stats").then(r => r.json()).then(s => at("facts").textContent = `${s.total_files_indexed} files indexed`);
+</script></body></html>"""
 
 
 def params_of(query: dict[str, list[str]]) -> SearchParams:
@@ -276,7 +371,10 @@ def http_server(service: Service, bind: str = "127.0.0.1", port: int = 0) -> Thr
             self.wfile.write(data)
 
         def do_GET(self):  # noqa: N802
-            self._send(*respond(service, self.path))
+            began = time.monotonic()
+            reply = respond(service, self.path)
+            log.info("GET %s %d %d ms", cut_bytes(self.path, LOG_BYTES), reply[0], 1000 * (time.monotonic() - began))
+            self._send(*reply)
 
         def do_POST(self):  # noqa: N802
             if urlsplit(self.path).path != "/mcp":

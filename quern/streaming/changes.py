@@ -1,4 +1,4 @@
-"""The change stream: OS events to changes, debouncing by session windows, upserts in foreachBatch, supervision."""
+"""The change stream: OS events to changes, debouncing by session windows, supervision (live.py applies it)."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.snapshot import SnapshotStore, apply_changes, deleted, new_or_modified, skipped
+from quern.operators.snapshot import skipped
 
 QUIET = "1 second"
 #: Starts, and the wait between them: 5 s, doubled each time, up to 300 s.
@@ -74,39 +73,6 @@ def immediate(changes: DataFrame) -> DataFrame:
     return changes.where("kind in ('Deleted', 'DeletedDir', 'Rescan')")
 
 
-def batch_applier(store: SnapshotStore, read_current: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each micro-batch becomes the next version of the store.
-
-    read_current gives the documents as they are now. A batch with a Rescan is followed by a whole
-    comparison. Delete-then-add makes a repeated batch harmless, so the checkpoint's retry is enough.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            now = read_current()
-            before = store.read()
-            docs = before if before is not None else now.limit(0)
-            after = apply_changes(docs, batch.where("kind != 'Rescan'"), now)
-            if not batch.where("kind = 'Rescan'").isEmpty():
-                fresh = new_or_modified(now, after.select("path", "modified_ns"))
-                gone = deleted(after, now).union(fresh.select("path"))
-                after = after.join(gone, "path", "left_anti").unionByName(fresh.select(*after.columns))
-            store.commit(after)
-        finally:
-            batch.unpersist()
-
-    return apply
-
-
-def start(changes: DataFrame, store: SnapshotStore, read_current: Callable[[], DataFrame], checkpoint: str, every_ms: int | None = 1000) -> StreamingQuery:
-    """Run the stream into the store; every_ms None takes all there is and stops."""
-    writer = changes.writeStream.foreachBatch(batch_applier(store, read_current)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if every_ms is None else writer.trigger(processingTime=f"{every_ms} milliseconds")).start()
-
-
 def supervise(run: Callable[[], None], stopped: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep, max_starts: int = MAX_STARTS) -> int:
     """Run until it ends without an error, is stopped, or has failed max_starts times; returns the starts made."""
     for n in range(1, max_starts + 1):

@@ -6,19 +6,22 @@ import datetime as dt
 import io
 import json
 import os
+import shutil
 import threading
+import time
 import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern import config, serve
+from quern.app import App
 from quern.operators import snapshot
-from quern.operators.snapshot import SnapshotStore
+from quern.plans.index import IndexStore
 from quern.plans.search import SearchParams
 from quern.schema import CHANGES, OS_EVENTS
 from quern.sources import fileindex
-from quern.streaming import changes
+from quern.streaming import changes, live
 
 
 @pytest.fixture()
@@ -109,44 +112,220 @@ def test_debounce(spark):
     assert [r["kind"] for r in changes.immediate(rows).collect()] == ["Deleted"]
 
 
-def test_stream_equals_rebuild(spark, tree, tmp_path_factory):
-    spark.dataSource.register(fileindex.FileIndexSource)
-    out = tmp_path_factory.mktemp("store")
-    store = SnapshotStore(spark, f"file://{out}/docs")
-    now = lambda: fileindex.read_documents(spark, str(tree))
+def texts(df):
+    return sorted((r["path"], r["text"]) for r in df.select("path", "text").collect())
 
-    def step():
-        stream = spark.readStream.format("fileindex").option("path", str(tree)).option("changes", "true").load()
-        q = changes.start(stream, store, now, f"file://{out}/checkpoint", every_ms=200)
-        q.processAllAvailable()
-        q.stop()
-        same = lambda d: sorted((r["path"], r["text"]) for r in d.collect())
-        assert same(store.read()) == same(now())
 
-    step()
-    (tree / "hello.txt").write_text("changed")
-    (tree / "src/main.rs").unlink()
-    (tree / "more.md").write_text("# new")
-    step()
-    assert len(store.versions()) == 2
+def rebuilt(spark, tree, tmp):
+    """The index made anew from the files as they are."""
+    return IndexStore.build(fileindex.read_documents(spark, str(tree)), f"file://{tmp}/rebuilt")
 
 
-def test_rescan_compares_all(spark, tree, tmp_path_factory):
-    store = SnapshotStore(spark, f"file://{tmp_path_factory.mktemp('store')}/docs")
-    now = lambda: fileindex.read_documents(spark, str(tree))
-    store.commit(now().where("path <> 'README.md'"))
-    (tree / "notes.rst").unlink()
-    changes.batch_applier(store, now)(change(spark, [(0, "Rescan", None)]), 0)
-    assert {r["path"] for r in store.read().collect()} == WANT - {"notes.rst"}
+def same_index(a, b):
+    """Documents, postings, lengths and counts alike."""
+    rows = lambda s, t: sorted(map(str, s.live(t).select(*sorted(s.live(t).columns)).collect()))
+    m, n = a.manifest(), b.manifest()
+    return all(rows(a, t) == rows(b, t) for t in ("docs", "postings", "lengths")) and (m.docs, m.lengths) == (n.docs, n.lengths)
 
 
-def test_store_keeps_the_last_whole_version(spark, tmp_path):
-    store = SnapshotStore(spark, f"file://{tmp_path}/s")
-    assert store.read() is None
-    for n in (1, 2, 3):
-        store.commit(spark.range(n))
-    (tmp_path / "s" / "v00000004").mkdir()  # a write that never was committed
-    assert store.versions() == [2, 3] and store.read().count() == 3
+def test_listing_by_tasks(spark, tree):
+    got = {r["path"]: (r["size"], r["modified_ns"]) for r in fileindex.list_tree(spark, str(tree)).collect()}
+    assert got == {r["path"]: (r["size"], r["modified_ns"]) for r in fileindex.read_files(spark, str(tree)).collect()} and set(got) == WANT
+    assert {r["path"] for r in fileindex.list_tree(spark, str(tree), ["rs"], dirs_per_task=1).collect()} == {"src/main.rs"}
+    with pytest.raises(Exception):
+        fileindex.list_tree(spark, str(tree / "missing")).count()
+
+
+def test_reading_given_paths(spark, tree):
+    paths = spark.createDataFrame([(p,) for p in ("hello.txt", "hello.txt", "gone.txt", "src", "odd.xyz", "link.txt", "src/main.rs", "hello.txt/x.txt")], "path string")
+    whole = {r["path"]: r for r in fileindex.read_documents(spark, str(tree)).collect()}
+    got = fileindex.read_paths(paths, str(tree)).collect()
+    assert [whole[r["path"]] for r in got] == got and {r["path"] for r in got} == {"hello.txt", "src/main.rs"}
+
+
+def test_events_of_a_tree(spark, tree, tmp_path_factory):
+    """What a watcher would say, poll by poll, and again when a batch is read again."""
+    source = fileindex._Events({"path": str(tree), "statedir": str(tmp_path_factory.mktemp("seen")), "from": "now"})
+    at = source.initialOffset()
+    assert list(source.read(at)[0]) == [] and source.read(at)[1] == at
+    (tree / "hello.txt").write_text("changed")
+    (tree / "README.md").unlink()
+    os.rename(tree / "notes.rst", tree / "src/renamed.rst")
+    (tree / "fresh/deep").mkdir(parents=True)
+    (tree / "fresh/a.md").write_text("a")
+    (tree / "fresh/deep/b.md").write_text("b")
+    (tree / "lone.txt").write_text("x")
+    rows, end = source.read(at)
+    got = [r[2:] for r in rows]
+    assert got == [
+        ("RenameBoth", ["notes.rst", "src/renamed.rst"], False, False), ("RemoveFile", ["README.md"], False, False),
+        ("Create", ["fresh", "fresh/a.md", "fresh/deep/b.md"], True, False), ("Create", ["lone.txt"], False, False), ("Modify", ["hello.txt"], False, False),
+    ]
+    assert [r[2:] for r in source.readBetweenOffsets(at, end)] == got
+    shutil.rmtree(tree / "fresh")
+    os.rename(tree / "src", tree / "code")
+    rows, last = source.read(end)
+    assert [r[2:4] for r in rows][:2] == [("RemoveFolder", ["fresh"]), ("RemoveFolder", ["src"])]
+    source.commit(last)
+    assert [r[2:] for r in source.readBetweenOffsets(at, end)] == [("Other", [], False, True)]
+    os.rename(tree, str(tree) + "-away")
+    assert [r[2:] for r in source.read(last)[0]] == [("Other", [], False, True)]
+    os.rename(str(tree) + "-away", tree)
+
+
+class Clock:
+    now = 0.0
+
+    def __call__(self):
+        return self.now
+
+
+def test_debouncer_waits_for_quiet():
+    clock = Clock()
+    d = live.Debouncer(1.0, clock)
+    d.add("a")
+    d.add("b")
+    clock.now = 0.75
+    d.add("a")
+    assert d.due() == []
+    clock.now = 1.0
+    assert d.due() == ["b"]
+    d.add("c")
+    d.drop("c")
+    clock.now = 1.75
+    assert d.due() == ["a"] and d.flush() == []
+    d.add("x")
+    assert d.flush() == ["x"]
+
+
+@pytest.fixture()
+def indexer(spark, tree, tmp_path_factory):
+    clock = Clock()
+    out = tmp_path_factory.mktemp("index")
+    made = live.Indexer(
+        IndexStore(spark, f"file://{out}/i"), lambda p: fileindex.read_paths(p, str(tree)), lambda: fileindex.list_tree(spark, str(tree)), clock=clock, capacity=6, batch_size=6,
+    )
+    made.rescan()
+    return made
+
+
+def feed(spark, indexer, *rows):
+    indexer.feed(spark.createDataFrame([(i, 0, k, p) for i, (k, p) in enumerate(rows)], "seq long, part int, kind string, path string"))
+
+
+def test_a_batch_costs_what_it_changes(spark, tree, indexer, tmp_path_factory):
+    """Only touched paths are read and written; docs, postings and counts equal a rebuild."""
+    assert indexer.rescan() == {"processed": len(WANT), "changed": 0, "deleted": 0}
+    read = []
+    before = indexer.read_paths
+    indexer.read_paths = lambda p: (read.extend(r[0] for r in p.collect()), before(p))[1]
+    (tree / "hello.txt").write_text("changed words")
+    (tree / "src/main.rs").unlink()
+    feed(spark, indexer, ("Modified", "hello.txt"), ("Deleted", "src/main.rs"))
+    assert indexer.store.manifest().number == 1, "it is not time yet"
+    indexer.clock.now = 1.5
+    indexer.tick()
+    assert read == ["hello.txt"] and indexer.store.manifest().segments[-1][1] == 1
+    assert same_index(indexer.store, rebuilt(spark, tree, tmp_path_factory.mktemp("r")))
+    shutil.rmtree(tree / "src")
+    feed(spark, indexer, ("DeletedDir", "src"))
+    indexer.flush()
+    assert same_index(indexer.store, rebuilt(spark, tree, tmp_path_factory.mktemp("r")))
+    number = indexer.store.manifest().number
+    feed(spark, indexer, ("Deleted", "never.there"))
+    indexer.flush()
+    assert indexer.store.manifest().number == number, "nothing to commit"
+
+
+def test_a_full_buffer_is_committed_and_a_flood_does_not_wait(spark, tree, indexer):
+    for i in range(3):
+        (tree / f"n{i}.md").write_text(f"new {i}")
+    feed(spark, indexer, *[("Modified", f"n{i}.md") for i in range(3)])
+    indexer.clock.now = 1.0
+    indexer.batch_ms = 10**9
+    indexer.tick()  # three modified paths are six items
+    assert indexer.buffer == [] and {r["path"] for r in indexer.store.docs.collect()} >= {"n0.md", "n1.md", "n2.md"}
+    for i in range(9):
+        (tree / f"m{i}.md").write_text(f"more {i}")
+    feed(spark, indexer, ("Modified", "n0.md"))
+    feed(spark, indexer, *[("Modified", f"m{i}.md") for i in range(9)])
+    assert {r["path"] for r in indexer.store.docs.collect()} >= {f"m{i}.md" for i in range(9)} and not indexer.debouncer.waiting
+
+
+def test_a_commit_is_tried_twice_then_dropped(spark, tree, indexer):
+    calls = []
+
+    def fails(changes, fresh):
+        calls.append(1)
+        raise OSError
+
+    indexer.store.apply = fails
+    feed(spark, indexer, ("Deleted", "hello.txt"), ("Deleted", "README.md"))
+    indexer.flush()
+    assert len(calls) == 2 and indexer.dropped == 2
+    del indexer.store.apply
+    indexer.rescan()
+    assert indexer.store.manifest().docs == len(WANT)
+
+
+def test_rescan_compares_all(spark, tree, indexer, tmp_path_factory):
+    (tree / "notes.rst").unlink()
+    (tree / "more.md").write_text("# new")
+    feed(spark, indexer, ("Rescan", None))
+    assert same_index(indexer.store, rebuilt(spark, tree, tmp_path_factory.mktemp("r")))
+
+
+def test_segments_are_merged_and_old_files_go(spark, tree, tmp_path):
+    docs = fileindex.read_documents(spark, str(tree)).cache()
+    store = IndexStore(spark, f"file://{tmp_path}/i")
+    store.add(docs.where("path = 'hello.txt'"))
+    names = sorted(WANT - {"hello.txt"})
+    for i, p in enumerate(names[:8]):
+        rows = change(spark, [(0, "Modified", p), (0, "Deleted", names[i - 1] if i % 3 == 2 else "none")])
+        store.apply(rows, docs.where(F.col("path") == p))
+    gone = {names[i - 1] for i in range(8) if i % 3 == 2}
+    m = store.manifest()
+    assert len(m.segments) < 8 and m.docs == 9 - len(gone)
+    assert same_index(store, IndexStore.build(docs.where(F.col("path").isin(["hello.txt", *(set(names[:8]) - gone)])), f"file://{tmp_path}/r"))
+    assert len(store.versions()) == 2
+    (tmp_path / "i" / "seg-00000099").mkdir()  # a write that never was committed
+    assert store.manifest().number == m.number
+    docs.unpersist()
+
+
+def test_stream_and_server_follow_the_directory(spark, tree, tmp_path_factory):
+    """The whole program: events, debouncing, commits, cache and searches, until it is closed."""
+    conf = config.load(None, directory=str(tree), index_path=f"{tmp_path_factory.mktemp('app')}/index/i", batch_timeout_ms=100)
+    conf.port = 0
+    app = App(spark, conf, quiet=0.3)
+    app.start()
+    base = f"http://127.0.0.1:{app.server.server_port}"
+    get = lambda q: json.load(urllib.request.urlopen(base + q))
+
+    def until(check, seconds=60):
+        end = time.monotonic() + seconds
+        while not check():
+            assert time.monotonic() < end
+            time.sleep(0.2)
+
+    try:
+        until(lambda: app.scanned.is_set() and get("/stats")["total_files_indexed"] == len(WANT))
+        assert [r["path"] for r in get("/search?q=library")["results"]] == ["hello.txt"]
+        urllib.request.urlopen(f"{base}/file?path=hello.txt").read()
+        assert app.service.cache.weight
+        (tree / "hello.txt").write_text("nothing here")
+        (tree / "later").mkdir()
+        (tree / "later/x.md").write_text("about a library")
+        (tree / "src/main.rs").unlink()
+        until(lambda: [r["path"] for r in get("/search?q=library")["results"]] == ["later/x.md"])
+        until(lambda: get("/search?q=main.rs&search_content=false")["total"] == 0)
+        assert app.service.cache.get(os.path.realpath(tree / "hello.txt")) is None
+        app.indexer.debouncer.quiet = 1000  # what waits is committed at the end all the same
+        (tree / "last.md").write_text("the very end")
+        until(lambda: "last.md" in app.indexer.debouncer.waiting)
+    finally:
+        app.close()
+    assert same_index(app.store, rebuilt(spark, tree, tmp_path_factory.mktemp("r")))
 
 
 def test_supervisor():
@@ -187,6 +366,47 @@ def service(spark, tree):
     return serve.Service(spark, fileindex.read_documents(spark, str(tree)).cache(), config.load(None, directory=str(tree)))
 
 
+@pytest.fixture()
+def by_index(spark, tree, tmp_path_factory):
+    return serve.Service(spark, rebuilt(spark, tree, tmp_path_factory.mktemp("s")), config.load(None, directory=str(tree)))
+
+
+def test_service_by_index(service, by_index):
+    for q in ("q=library", "q=text&sort_by=size&sort_order=asc", "ext=md", "q=line&path=long", "q=nothing", ""):
+        one, two = (json.loads(serve.respond(s, f"/search?{q}")[2]) for s in (service, by_index))
+        assert one["total"] == two["total"] and one["results"] == two["results"]
+    assert serve.respond(by_index, "/stats") == serve.respond(service, "/stats")
+
+
+def test_text_cache():
+    c = serve.TextCache(20)
+    c.put("a", ("Text", "x" * 9))
+    c.put("b", ("Text", "é" * 4))
+    assert c.get("a") and c.weight == 19
+    c.put("c", ("Text", ""))  # an empty text counts, too
+    assert c.weight == 20 and c.get("b")
+    c.put("d", ("Text", ""))
+    assert c.get("a") is None and c.get("b") and c.get("c")
+    c.put("big", ("Text", "x" * 20))
+    assert c.get("big") is None and c.get("d")
+    c.put("b", ("Text", "z"))
+    assert c.weight == 2 + 1 + 1
+    c.clear()
+    assert c.weight == 0 and c.get("b") is None
+
+
+def test_cached_texts_and_request_log(service, tree, caplog):
+    assert service.load("hello.txt") == service.load("hello.txt")
+    (tree / "hello.txt").write_text("other")
+    assert service.load("hello.txt")[1].startswith("Hello")
+    service.cache.clear()
+    assert service.load("hello.txt")[1] == "other"
+    with caplog.at_level("INFO", "quern.serve"):
+        serve.json_rpc(service, json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "docs_get", "arguments": {"path": "é" * 100, "start_line": 3, "x": [1], "all": True}}}))
+    assert caplog.messages == [f"[http] tools/call docs_get (path={'é' * 64}…, start_line=3, all=true)"]
+    assert serve.compact(None) == "" and serve.compact({}) == " ()"
+
+
 def test_http(service):
     get = lambda target: serve.respond(service, target)
     status, kind, body = get("/search?q=library&max_results=bogus")
@@ -217,7 +437,9 @@ def test_json_rpc(service):
     assert rpc(method="tools/list", id=None)["id"] is None and rpc(method="tools/list") is None and rpc(id=1, result={}) is None
     assert rpc(method="nope", id=1)["error"]["code"] == -32601 and rpc(id=1)["error"]["code"] == -32600
     assert rpc(method="tools/call", id=1, params={"name": "docs_get"})["error"]["code"] == -32602
-    assert rpc(method="initialize", id=1)["result"]["serverInfo"]["name"] == "quern"
+    old, new = rpc(method="initialize", id=1)["result"], rpc(method="server/discover", id=1)["result"]
+    assert old["serverInfo"] == new["serverInfo"] == {"name": "quern", "version": "0.1"} and old["capabilities"] == new["serverCapabilities"] == {"tools": {}}
+    assert old["protocolVersion"] in new["supportedVersions"] and new["protocolVersion"] == new["supportedVersions"][0]
     out = io.StringIO()
     serve.stdio(service, io.BytesIO(b'\n\xff\xfe\n{"jsonrpc":"2.0","id":5,"method":"tools/list"}\n'), out)
     assert json.loads(out.getvalue())["id"] == 5

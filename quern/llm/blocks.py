@@ -98,7 +98,7 @@ def batched(docs: DataFrame, total_bytes: int) -> DataFrame:
     """(BATCH, row): the rows of docs as one struct, whatever their columns are called, dealt to batches by
     the hash of doc_id, text and input partition (so rows that repeat do not all meet in one batch)."""
     n = max(1, -(-total_bytes // BATCH_BYTES))
-    dealt = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("long")  # of the type of `from`, as both are hashed
     return docs.select(dealt.alias(BATCH), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 

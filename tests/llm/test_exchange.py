@@ -20,10 +20,15 @@ def docs(spark):
 
 
 @pytest.fixture()
-def small(monkeypatch):
-    """Many batches and partitions over a small table."""
+def small(spark, monkeypatch):
+    """Many batches and partitions over a small table, and tasks that are not put together."""
     monkeypatch.setattr(blocks, "BATCH_BYTES", 3000)
     monkeypatch.setattr(blocks, "PARTITION_BYTES", 600)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def rows(df):

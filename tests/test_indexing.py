@@ -27,25 +27,25 @@ from quern.streaming import changes, live
 @pytest.fixture()
 def tree(tmp_path):
     files = {
-        "hello.txt": "Hello, world!\nWelcome to the library", "README.md": "# Read me\n\n## Features\n\ntext\n", ".env.txt": "secret", ".git/config.txt": "no", "src/.env.local.txt": "deep",
+        "greeting.txt": "Good morning, harbour!\nBooks are in the library", "GUIDE.md": "# Guide\n\n## Rules\n\ntext\n", ".env.txt": "secret", ".git/config.txt": "no", "src/.env.local.txt": "deep",
         "src/main.rs": "fn main() {}\n", "src/app.py": "class A:\n    pass\n", "page.html": "<h1>Big</h1><p>text <b>bold</b></p>", "doc.pdf": "x", "notes.rst": "T\n=\n\nbody\n",
         "image.PNG": "png", "noext": "x", "_under.txt": "u", "long.txt": "\n".join(f"line {i}" for i in range(1, 151)), "odd.xyz": "?",
     }
     for p, t in files.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t)
-    os.symlink(tmp_path / "hello.txt", tmp_path / "link.txt")
-    os.utime(tmp_path / "hello.txt", ns=(1, 1_700_000_000_123_456_789))
+    os.symlink(tmp_path / "greeting.txt", tmp_path / "link.txt")
+    os.utime(tmp_path / "greeting.txt", ns=(1, 1_700_000_000_123_456_789))
     return tmp_path
 
 
-WANT = {"hello.txt", "README.md", ".env.txt", "src/.env.local.txt", "src/main.rs", "src/app.py", "page.html", "doc.pdf", "notes.rst", "_under.txt", "long.txt"}
+WANT = {"greeting.txt", "GUIDE.md", ".env.txt", "src/.env.local.txt", "src/main.rs", "src/app.py", "page.html", "doc.pdf", "notes.rst", "_under.txt", "long.txt"}
 
 
 def test_files(spark, tree):
     rows = {r["path"]: r for r in fileindex.read_files(spark, str(tree)).collect()}
     assert set(rows) == WANT
-    assert rows["hello.txt"]["modified_ns"] == 1_700_000_000_123_456_789 and rows["src/main.rs"]["dir"] == "src" and rows["README.md"]["extension"] == "md"
+    assert rows["greeting.txt"]["modified_ns"] == 1_700_000_000_123_456_789 and rows["src/main.rs"]["dir"] == "src" and rows["GUIDE.md"]["extension"] == "md"
     assert {r["path"] for r in fileindex.read_files(spark, str(tree), ["PNG", ".rs"]).collect()} == {"image.PNG", "src/main.rs"}
     image = fileindex.images(fileindex.read_files(spark, str(tree), ["png"], content=True), 100).first()
     assert (image["mime"], image["data"]) == ("image/png", "cG5n")
@@ -137,10 +137,10 @@ def test_listing_by_tasks(spark, tree):
 
 
 def test_reading_given_paths(spark, tree):
-    paths = spark.createDataFrame([(p,) for p in ("hello.txt", "hello.txt", "gone.txt", "src", "odd.xyz", "link.txt", "src/main.rs", "hello.txt/x.txt")], "path string")
+    paths = spark.createDataFrame([(p,) for p in ("greeting.txt", "greeting.txt", "gone.txt", "src", "odd.xyz", "link.txt", "src/main.rs", "greeting.txt/x.txt")], "path string")
     whole = {r["path"]: r for r in fileindex.read_documents(spark, str(tree)).collect()}
     got = fileindex.read_paths(paths, str(tree)).collect()
-    assert [whole[r["path"]] for r in got] == got and {r["path"] for r in got} == {"hello.txt", "src/main.rs"}
+    assert [whole[r["path"]] for r in got] == got and {r["path"] for r in got} == {"greeting.txt", "src/main.rs"}
 
 
 def test_events_of_a_tree(spark, tree, tmp_path_factory):
@@ -148,8 +148,8 @@ def test_events_of_a_tree(spark, tree, tmp_path_factory):
     source = fileindex._Events({"path": str(tree), "statedir": str(tmp_path_factory.mktemp("seen")), "from": "now"})
     at = source.initialOffset()
     assert list(source.read(at)[0]) == [] and source.read(at)[1] == at
-    (tree / "hello.txt").write_text("changed")
-    (tree / "README.md").unlink()
+    (tree / "greeting.txt").write_text("changed")
+    (tree / "GUIDE.md").unlink()
     os.rename(tree / "notes.rst", tree / "src/renamed.rst")
     (tree / "fresh/deep").mkdir(parents=True)
     (tree / "fresh/a.md").write_text("a")
@@ -158,8 +158,8 @@ def test_events_of_a_tree(spark, tree, tmp_path_factory):
     rows, end = source.read(at)
     got = [r[2:] for r in rows]
     assert got == [
-        ("RenameBoth", ["notes.rst", "src/renamed.rst"], False, False), ("RemoveFile", ["README.md"], False, False),
-        ("Create", ["fresh", "fresh/a.md", "fresh/deep/b.md"], True, False), ("Create", ["lone.txt"], False, False), ("Modify", ["hello.txt"], False, False),
+        ("RenameBoth", ["notes.rst", "src/renamed.rst"], False, False), ("RemoveFile", ["GUIDE.md"], False, False),
+        ("Create", ["fresh", "fresh/a.md", "fresh/deep/b.md"], True, False), ("Create", ["lone.txt"], False, False), ("Modify", ["greeting.txt"], False, False),
     ]
     assert [r[2:] for r in source.readBetweenOffsets(at, end)] == got
     shutil.rmtree(tree / "fresh")
@@ -219,13 +219,13 @@ def test_a_batch_costs_what_it_changes(spark, tree, indexer, tmp_path_factory):
     read = []
     before = indexer.read_paths
     indexer.read_paths = lambda p: (read.extend(r[0] for r in p.collect()), before(p))[1]
-    (tree / "hello.txt").write_text("changed words")
+    (tree / "greeting.txt").write_text("changed words")
     (tree / "src/main.rs").unlink()
-    feed(spark, indexer, ("Modified", "hello.txt"), ("Deleted", "src/main.rs"))
+    feed(spark, indexer, ("Modified", "greeting.txt"), ("Deleted", "src/main.rs"))
     assert indexer.store.manifest().number == 1, "it is not time yet"
     indexer.clock.now = 1.5
     indexer.tick()
-    assert read == ["hello.txt"] and indexer.store.manifest().segments[-1][1] == 1
+    assert read == ["greeting.txt"] and indexer.store.manifest().segments[-1][1] == 1
     assert same_index(indexer.store, rebuilt(spark, tree, tmp_path_factory.mktemp("r")))
     shutil.rmtree(tree / "src")
     feed(spark, indexer, ("DeletedDir", "src"))
@@ -260,7 +260,7 @@ def test_a_commit_is_tried_twice_then_dropped(spark, tree, indexer):
         raise OSError
 
     indexer.store.apply = fails
-    feed(spark, indexer, ("Deleted", "hello.txt"), ("Deleted", "README.md"))
+    feed(spark, indexer, ("Deleted", "greeting.txt"), ("Deleted", "GUIDE.md"))
     indexer.flush()
     assert len(calls) == 2 and indexer.dropped == 2
     del indexer.store.apply
@@ -278,15 +278,15 @@ def test_rescan_compares_all(spark, tree, indexer, tmp_path_factory):
 def test_segments_are_merged_and_old_files_go(spark, tree, tmp_path):
     docs = fileindex.read_documents(spark, str(tree)).cache()
     store = IndexStore(spark, f"file://{tmp_path}/i")
-    store.add(docs.where("path = 'hello.txt'"))
-    names = sorted(WANT - {"hello.txt"})
+    store.add(docs.where("path = 'greeting.txt'"))
+    names = sorted(WANT - {"greeting.txt"})
     for i, p in enumerate(names[:8]):
         rows = change(spark, [(0, "Modified", p), (0, "Deleted", names[i - 1] if i % 3 == 2 else "none")])
         store.apply(rows, docs.where(F.col("path") == p))
     gone = {names[i - 1] for i in range(8) if i % 3 == 2}
     m = store.manifest()
     assert len(m.segments) < 8 and m.docs == 9 - len(gone)
-    assert same_index(store, IndexStore.build(docs.where(F.col("path").isin(["hello.txt", *(set(names[:8]) - gone)])), f"file://{tmp_path}/r"))
+    assert same_index(store, IndexStore.build(docs.where(F.col("path").isin(["greeting.txt", *(set(names[:8]) - gone)])), f"file://{tmp_path}/r"))
     assert len(store.versions()) == 2
     (tmp_path / "i" / "seg-00000099").mkdir()  # a write that never was committed
     assert store.manifest().number == m.number
@@ -310,16 +310,16 @@ def test_stream_and_server_follow_the_directory(spark, tree, tmp_path_factory):
 
     try:
         until(lambda: app.scanned.is_set() and get("/stats")["total_files_indexed"] == len(WANT))
-        assert [r["path"] for r in get("/search?q=library")["results"]] == ["hello.txt"]
-        urllib.request.urlopen(f"{base}/file?path=hello.txt").read()
+        assert [r["path"] for r in get("/search?q=library")["results"]] == ["greeting.txt"]
+        urllib.request.urlopen(f"{base}/file?path=greeting.txt").read()
         assert app.service.cache.weight
-        (tree / "hello.txt").write_text("nothing here")
+        (tree / "greeting.txt").write_text("nothing here")
         (tree / "later").mkdir()
         (tree / "later/x.md").write_text("about a library")
         (tree / "src/main.rs").unlink()
         until(lambda: [r["path"] for r in get("/search?q=library")["results"]] == ["later/x.md"])
         until(lambda: get("/search?q=main.rs&search_content=false")["total"] == 0)
-        assert app.service.cache.get(os.path.realpath(tree / "hello.txt")) is None
+        assert app.service.cache.get(os.path.realpath(tree / "greeting.txt")) is None
         app.indexer.debouncer.quiet = 1000  # what waits is committed at the end all the same
         (tree / "last.md").write_text("the very end")
         until(lambda: "last.md" in app.indexer.debouncer.waiting)
@@ -396,11 +396,11 @@ def test_text_cache():
 
 
 def test_cached_texts_and_request_log(service, tree, caplog):
-    assert service.load("hello.txt") == service.load("hello.txt")
-    (tree / "hello.txt").write_text("other")
-    assert service.load("hello.txt")[1].startswith("Hello")
+    assert service.load("greeting.txt") == service.load("greeting.txt")
+    (tree / "greeting.txt").write_text("other")
+    assert service.load("greeting.txt")[1].startswith("Good")
     service.cache.clear()
-    assert service.load("hello.txt")[1] == "other"
+    assert service.load("greeting.txt")[1] == "other"
     with caplog.at_level("INFO", "quern.serve"):
         serve.json_rpc(service, json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "docs_get", "arguments": {"path": "é" * 100, "start_line": 3, "x": [1], "all": True}}}))
     assert caplog.messages == [f"[http] tools/call docs_get (path={'é' * 64}…, start_line=3, all=true)"]
@@ -412,19 +412,19 @@ def test_http(service):
     status, kind, body = get("/search?q=library&max_results=bogus")
     assert status == 200 and kind == "application/json" and json.loads(body)["results"][0]["snippet"].endswith("<mark>library</mark>")
     assert get("/file?path=page.html")[1].startswith("text/markdown") and get("/file?path=src/app.py")[1].startswith("text/plain")
-    assert json.loads(get("/structure?path=README.md")[2]) == {"headers": [{"level": 1, "text": "Read me", "start_line": 1, "end_line": 2}, {"level": 2, "text": "Features", "start_line": 3, "end_line": 5}], "totalLines": 5}
+    assert json.loads(get("/structure?path=GUIDE.md")[2]) == {"headers": [{"level": 1, "text": "Guide", "start_line": 1, "end_line": 2}, {"level": 2, "text": "Rules", "start_line": 3, "end_line": 5}], "totalLines": 5}
     assert json.loads(get("/stats")[2]) == {"total_files_indexed": len(WANT)}
     for target, want in (("/file?path=x.txt", 404), ("/file?path=../x", 403), ("/file?path=src", 400), ("/file?path=odd.xyz", 415), ("/file?path=doc.pdf", 500), ("/none", 404)):
         assert get(target)[0] == want
     service.conf.max_file_size_mb = 0
-    assert get("/file?path=hello.txt")[0] == 413
+    assert get("/file?path=greeting.txt")[0] == 413
 
 
 def test_tools(service):
     call = lambda name, **a: serve.call_tool(service, name, a)
     assert call("docs_search", query="  ") == {"content": [{"type": "text", "text": "Search query is empty"}], "isError": True}
-    assert call("docs_search", query="library")["content"][0]["text"].startswith("1. hello.txt (score: ")
-    assert call("docs_headings", path="README.md")["content"][0]["text"] == "README.md (5 lines)\nRead me [L1-L2]\n  Features [L3-L5]"
+    assert call("docs_search", query="library")["content"][0]["text"].startswith("1. greeting.txt (score: ")
+    assert call("docs_headings", path="GUIDE.md")["content"][0]["text"] == "GUIDE.md (5 lines)\nGuide [L1-L2]\n  Rules [L3-L5]"
     assert call("docs_get", path="long.txt", start_line=2, end_line=3)["content"][0]["text"] == "long.txt\n\nline 2\nline 3"
     assert "150 lines" in call("docs_get", path="long.txt")["content"][0]["text"] and "line 101\n" not in call("docs_get", path="long.txt")["content"][0]["text"]
     assert call("docs_get", path="image.PNG")["content"][0] == {"type": "image", "data": "cG5n", "mimeType": "image/png"}
@@ -449,8 +449,8 @@ def test_server(service):
     server = serve.http_server(service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
-    with urllib.request.urlopen(f"{base}/file?path=hello.txt") as r:
-        assert r.read().startswith(b"Hello") and r.headers["X-Content-Type-Options"] == "nosniff"
+    with urllib.request.urlopen(f"{base}/file?path=greeting.txt") as r:
+        assert r.read().startswith(b"Good") and r.headers["X-Content-Type-Options"] == "nosniff"
     request = urllib.request.Request(f"{base}/mcp", b'{"jsonrpc":"2.0","method":"x"}')
     with urllib.request.urlopen(request) as r:
         assert r.status == 202

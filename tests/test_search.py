@@ -13,8 +13,8 @@ from quern.plans.search import SearchParams
 from quern.schema import DOCS
 
 FILES = {
-    "src/hello.rs": 'fn hello() { println!("Hello"); }', "src/world.rs": "fn world() {}", "README.md": "# Project README",
-    "docs/a.txt": "the quick brown fox jumps over the lazy dog", "docs/b.txt": "quick dog, lazy fox & <tags>", "docs/c.bin": None,
+    "code/ahoy.rs": 'fn ahoy() { print!("Ahoy"); }', "code/sails.rs": "fn sails() {}", "GUIDE.md": "# Harbour guide",
+    "docs/a.txt": "an early tall ship left near the quiet pier", "docs/b.txt": "early pier, quiet ship & <tags>", "docs/c.bin": None,
 }
 
 
@@ -37,53 +37,53 @@ def found(docs, **p):
 
 
 def test_content_and_names(docs):
-    assert found(docs, q="Hello") == ["src/hello.rs"]
-    assert found(docs, q="world", search_content=False) == ["src/world.rs"]
-    assert found(docs, q="README") == ["README.md"]
+    assert found(docs, q="Ahoy") == ["code/ahoy.rs"]
+    assert found(docs, q="sails", search_content=False) == ["code/sails.rs"]
+    assert found(docs, q="GUIDE") == ["GUIDE.md"]
     assert found(docs, q="nothing_like_it") == [] and len(found(docs)) == len(FILES)
 
 
 def test_filters_and_orders(docs):
-    assert sorted(found(docs, ext="RS")) == ["src/hello.rs", "src/world.rs"]
+    assert sorted(found(docs, ext="RS")) == ["code/ahoy.rs", "code/sails.rs"]
     assert sorted(found(docs, path="docs")) == ["docs/a.txt", "docs/b.txt", "docs/c.bin"]
-    assert found(docs, ext="") == [] and found(docs, q="fox", ext="txt", path="src") == []
+    assert found(docs, ext="") == [] and found(docs, q="ship", ext="txt", path="code") == []
     assert found(docs, sort_by="path", sort_order="asc") == sorted(FILES)
     assert found(docs, sort_by="path") == sorted(FILES, reverse=True)
     assert found(docs, sort_by="modified", sort_order="asc") == list(FILES)
     assert found(docs, sort_by="size")[0] == "docs/a.txt"
-    assert found(docs, sort_by="bogus", q="fox") == found(docs, q="fox")
+    assert found(docs, sort_by="bogus", q="ship") == found(docs, q="ship")
     assert len(found(docs, max_results=0)) == 1 and SearchParams(max_results=1000).limit == 100
 
 
 def test_scores(docs):
-    rows = search.search(docs, SearchParams(q="fox")).collect()
+    rows = search.search(docs, SearchParams(q="ship")).collect()
     assert [r["path"] for r in rows] == ["docs/b.txt", "docs/a.txt"] and rows[0]["score"] > rows[1]["score"] > 0
-    assert {r["score"] for r in search.search(docs, SearchParams(q="fox", sort_by="size")).collect()} == {0.0}
-    with_filter = search.search(docs, SearchParams(q="fox", ext="txt")).collect()
+    assert {r["score"] for r in search.search(docs, SearchParams(q="ship", sort_by="size")).collect()} == {0.0}
+    with_filter = search.search(docs, SearchParams(q="ship", ext="txt")).collect()
     assert [r["path"] for r in with_filter] == [r["path"] for r in rows] and with_filter[0]["score"] > rows[0]["score"]
 
 
 def test_snippets(docs):
-    got = {r["path"]: r["snippet"] for r in search.search(docs, SearchParams(q="hello fox"), as_html=True).collect()}
-    assert "<mark>Hello</mark>" in got["src/hello.rs"] and "&quot;" in got["src/hello.rs"]
-    assert "<mark>fox</mark> &amp; &lt;tags&gt;" in got["docs/b.txt"]
-    assert {r["snippet"] for r in search.search(docs, SearchParams(q="readme", ext="md", search_content=True)).collect()} == {"# Project README"}
+    got = {r["path"]: r["snippet"] for r in search.search(docs, SearchParams(q="ahoy ship"), as_html=True).collect()}
+    assert "<mark>Ahoy</mark>" in got["code/ahoy.rs"] and "&quot;" in got["code/ahoy.rs"]
+    assert "<mark>ship</mark> &amp; &lt;tags&gt;" in got["docs/b.txt"]
+    assert {r["snippet"] for r in search.search(docs, SearchParams(q="guide", ext="md", search_content=True)).collect()} == {"# Harbour guide"}
     assert {r["snippet"] for r in search.search(docs, SearchParams()).collect()} == {""}
     assert search.snippet("x" * 500 + " needle " + "y" * 500, ["needle"]).strip() and len(search.snippet("word " * 200 + "needle", ["needle"])) <= 150
 
 
 def test_response(docs):
-    got = search.response(docs, SearchParams(q="fox", max_results=1))
+    got = search.response(docs, SearchParams(q="ship", max_results=1))
     assert got["total"] == 2 and len(got["results"]) == 1 and got["limit_applied"] == 1
     assert got["results"][0]["modified"] == "2024-01-01T00:04:00+00:00"
 
 
 QUERIES = {
-    "quick dog": {"docs/a.txt", "docs/b.txt"}, "quick AND brown": {"docs/a.txt"}, "+fox -brown": {"docs/b.txt"}, "fox NOT tags": {"docs/a.txt"},
-    '"quick brown"': {"docs/a.txt"}, '"quick fox"': set(), '"quick fox"~2': {"docs/a.txt", "docs/b.txt"}, "(hello OR world) AND fn": {"src/hello.rs", "src/world.rs"},
-    "filename:hello": {"src/hello.rs"}, "extension:md": {"README.md"}, "dir:docs": {"docs/a.txt", "docs/b.txt", "docs/c.bin"}, "size:[16 TO 20]": {"README.md"},
-    "content:IN [lazy project]": {"docs/a.txt", "docs/b.txt", "README.md"}, "fox^2 hello": {"docs/a.txt", "docs/b.txt", "src/hello.rs"}, "*": set(FILES),
-    "`std::vector`": set(), "hello [unmatched": {"src/hello.rs"}, "nofield:hello": {"src/hello.rs"}, "-fox": {"docs/a.txt", "docs/b.txt"}, "   ": set(), "!!!": set(), '"': set(),
+    "early pier": {"docs/a.txt", "docs/b.txt"}, "early AND tall": {"docs/a.txt"}, "+ship -tall": {"docs/b.txt"}, "ship NOT tags": {"docs/a.txt"},
+    '"early tall"': {"docs/a.txt"}, '"early ship"': set(), '"early ship"~2': {"docs/a.txt", "docs/b.txt"}, "(ahoy OR sails) AND fn": {"code/ahoy.rs", "code/sails.rs"},
+    "filename:ahoy": {"code/ahoy.rs"}, "extension:md": {"GUIDE.md"}, "dir:docs": {"docs/a.txt", "docs/b.txt", "docs/c.bin"}, "size:[14 TO 16]": {"GUIDE.md"},
+    "content:IN [quiet guide]": {"docs/a.txt", "docs/b.txt", "GUIDE.md"}, "ship^2 ahoy": {"docs/a.txt", "docs/b.txt", "code/ahoy.rs"}, "*": set(FILES),
+    "`sea::chart`": set(), "ahoy [unclosed": {"code/ahoy.rs"}, "nofield:ahoy": {"code/ahoy.rs"}, "-ship": {"docs/a.txt", "docs/b.txt"}, "   ": set(), "!!!": set(), '"': set(),
 }
 
 
@@ -105,5 +105,5 @@ def test_parse_errors_fall_back():
 
 
 def test_index_reads_its_own_terms(index):
-    plan = index.read_postings([Q.Leaf("content", ("fox",))])._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,fox)]" in plan
+    plan = index.read_postings([Q.Leaf("content", ("ship",))])._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,ship)]" in plan

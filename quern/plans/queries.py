@@ -420,41 +420,6 @@ def result_text(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", text.result_text(F.col("doc_id") + 1, F.col("path"), F.col("doc_id") / 8, F.lit("hit")).alias("line"))
 
 
-@query("html_to_md")
-def html_to_md(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", formats.normalised_text(F.encode("html", "UTF-8"), F.lit("Html"), 20_000_000).alias("text"))
-
-
-@query("html_outline")
-def html_outline(spark, sf_dir):
-    return outline.markdown_headings(html_to_md(spark, sf_dir), key="page_id")
-
-
-@query("snippet_html")
-def snippet_html(spark, sf_dir):
-    store = indexed(spark, sf_dir)
-    return search.search(store.docs, SearchParams(q="the", max_results=20), as_html=True, measure=store.measure)
-
-
-@query("rst_to_md")
-def rst_to_md(spark, sf_dir):
-    d = corpus(spark, sf_dir).where("extension = 'rst'")
-    return d.select("path", formats.normalised_text(F.encode("text", "UTF-8"), F.lit("Rst"), 20_000_000).alias("text"))
-
-
-@query("py_outline")
-def py_outline(spark, sf_dir):
-    lines = F.transform(text.lines(F.col("text")), lambda x, i: F.concat(F.repeat(F.lit("    "), (i % 3).cast("int")), F.when(i % 2 == 0, F.lit("class ")).otherwise(F.lit("def ")), F.regexp_replace(x, "\\W+", "_"), F.lit("(x):")))
-    return corpus(spark, sf_dir).select("path", outline.python_outline(F.array_join(lines, "\n")).alias("headings"))
-
-
-@query("rust_outline")
-def rust_outline(spark, sf_dir):
-    lines = F.transform(text.lines(F.col("text")), lambda x, i: F.concat(F.when(i % 3 == 0, F.lit("impl ")).when(i % 3 == 1, F.lit("    pub fn ")).otherwise(F.lit("} // ")), F.regexp_replace(x, "\\W+", "_"), F.when(i % 3 == 2, F.lit("")).otherwise(F.lit("() {"))))
-    return corpus(spark, sf_dir).select("path", outline.rust_outline(F.array_join(lines, "\n")).alias("headings"))
-
-
 def os_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as OS notifications: renames with both ends, removals, creations and lost events."""
     e = table(spark, sf_dir, "events")

@@ -109,7 +109,9 @@ class Measured:
         if isinstance(node, Q.Boost):
             return self.match(node.clause)
         if isinstance(node, Q.Range):
-            c, value = F.col("size") if node.field in Q.NUMBER_FIELDS else _field(node.field), (lambda x: int(x) if node.field in Q.NUMBER_FIELDS else x)
+            plain = node.field not in (*Q.NUMBER_FIELDS, *Q.DATE_FIELDS)
+            c = _field(node.field) if plain else F.col("modified_ns" if node.field in Q.DATE_FIELDS else node.field)
+            value = (lambda x: x) if plain else (lambda x: Q.number(node.field, x))
             out = F.lit(True)
             if node.low is not None:
                 out = out & ((c > value(node.low)) if node.low_open else (c >= value(node.low)))

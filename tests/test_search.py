@@ -82,7 +82,8 @@ QUERIES = {
     "early pier": {"docs/a.txt", "docs/b.txt"}, "early AND tall": {"docs/a.txt"}, "+ship -tall": {"docs/b.txt"}, "ship NOT tags": {"docs/a.txt"},
     '"early tall"': {"docs/a.txt"}, '"early ship"': set(), '"early ship"~2': {"docs/a.txt", "docs/b.txt"}, "(ahoy OR sails) AND fn": {"code/ahoy.rs", "code/sails.rs"},
     "filename:ahoy": {"code/ahoy.rs"}, "extension:md": {"GUIDE.md"}, "dir:docs": {"docs/a.txt", "docs/b.txt", "docs/c.bin"}, "size:[14 TO 16]": {"GUIDE.md"},
-    "content:IN [quiet guide]": {"docs/a.txt", "docs/b.txt", "GUIDE.md"}, "ship^2 ahoy": {"docs/a.txt", "docs/b.txt", "code/ahoy.rs"}, "*": set(FILES),
+    "modified:[1970-01-01T00:00:01Z TO 1970-01-01T01:00:02+01:00]": {"code/sails.rs", "GUIDE.md"}, "modified:{1970-01-01T00:00:04Z TO *]": {"docs/c.bin"},
+    'modified:"1970-01-01T00:00:03.000000000Z"': {"docs/a.txt"}, "modified:[soon TO *]": set(), "has_content:true": set(), "content:IN [quiet guide]": {"docs/a.txt", "docs/b.txt", "GUIDE.md"}, "ship^2 ahoy": {"docs/a.txt", "docs/b.txt", "code/ahoy.rs"}, "*": set(FILES),
     "`sea::chart`": set(), "ahoy [unclosed": {"code/ahoy.rs"}, "nofield:ahoy": {"code/ahoy.rs"}, "-ship": {"docs/a.txt", "docs/b.txt"}, "   ": set(), "!!!": set(), '"': set(),
 }
 

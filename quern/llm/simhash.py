@@ -5,9 +5,9 @@ differ in at most r bits agree on some b - r blocks whole, so all links lie insi
 bits of b - r blocks; b grows with the number of distinct fingerprints, which keeps the expected shard
 small at any size, and no b loses a link. Inside a shard a BK-tree (children keyed by their integer
 Hamming distance to the parent) is searched along edges within the radius of the query's own distance.
-Shards over `block` members are dealt into blocks and every pair of blocks is searched, so a hot shard
-never meets in one task and nothing is capped. The trees travel with the shard's rows to the searching
-tasks, which holds for any number of shards; a broadcast of all of them would have no bound.
+Shards over `block` members are searched in blocks (hot.py), so a hot shard never meets in one task and
+nothing is capped. The trees travel with the shard's rows to the searching tasks, which holds for any
+number of shards; a broadcast of all of them would have no bound.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import doc_texts, written
 from quern.llm.components import components
+from quern.llm.hot import block_links
 
 SHINGLE, RADIUS, BLOCK, SHARD = 4, 4, 2048, 64
-#: Blocks of a hot shard that search one tree together.
-TOGETHER = 32
 
 
 def simhash64(text: str | None, width: int = SHINGLE, seed: int = 42) -> int:
@@ -103,12 +102,15 @@ class BKTree:
         return found
 
 
-def shard_links(left: list[int], others: list[list[int]] | None, radius: int) -> list[tuple[int, int]]:
-    """Links inside left (others None) or between left and each of the others, as edges to the smallest of each group.
+def shard_links(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
+    """Links inside left (right None) or between left and right, as edges to the smallest of each group.
 
     The groups are those that the links make, so no connection is lost though not every pair is listed.
+    Fingerprints are signed longs, as in columns.
     """
-    tree = BKTree(left)
+    unsigned = lambda v: v & 0xFFFFFFFFFFFFFFFF
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    tree = BKTree(list(map(unsigned, left)))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -116,11 +118,11 @@ def shard_links(left: list[int], others: list[list[int]] | None, radius: int) ->
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    for x in left if others is None else (x for block in others for x in block):
+    for x in map(unsigned, left if right is None else right):
         for y in tree.within(x, radius):
             if x != y and (a := root(x)) != (b := root(y)):
                 parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+    return [(signed(x), signed(r)) for x in list(parent) if (r := root(x)) != x]
 
 
 def shard_blocks(distinct: int, radius: int, shard: int = SHARD) -> int:
@@ -143,37 +145,8 @@ def _keys(fp: Column, radius: int, blocks: int) -> Column:
 def links(distinct_fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(a, b): edges over the distinct values of column fp, connecting all that `radius` bits link."""
     n = distinct_fps.count()
-    keyed = distinct_fps.select("fp", F.explode(_keys(F.col("fp"), radius, shard_blocks(n, radius))).alias("key"))
-    hot = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).where("nb > 1")
-    dealt = keyed.join(hot, "key", "left").select("key", "fp", F.coalesce("nb", F.lit(1)).alias("nb"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("nb")).cast("int"))
-    groups = dealt.groupBy("key", "nb", "block").agg(F.collect_list("fp").alias("left"))
-    none = F.lit(None).cast("array<array<bigint>>").alias("others")
-    cold = groups.where("nb = 1 and size(left) > 1").select("left", none)
-    # The hot shards are written once. Every block's tree is searched by the blocks after it, TOGETHER of them
-    # at a time: a block goes to the rows of the pairs it is in, so no shard ever meets in one task.
-    many = written(groups.where("nb > 1"), "hot-shards")
-    inside = many.select("left", none)
-    turn = lambda i, j: F.struct(i.cast("int").alias("block"), F.floor((j - i - 1) / TOGETHER).cast("int").alias("turn"))
-    after = F.sequence(F.lit(0), F.floor((F.col("nb") - F.col("block") - 2) / TOGETHER).cast("int"))
-    trees = many.where("block + 1 < nb").select("key", F.explode(after).alias("turn"), "block", F.col("left").alias("tree"), F.lit(None).cast("array<bigint>").alias("other"))
-    asking = many.where("block > 0").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: turn(i, F.col("block")))).alias("t"), "left")
-    asking = asking.select("key", "t.turn", "t.block", F.lit(None).cast("array<bigint>").alias("tree"), F.col("left").alias("other"))
-    met = trees.unionByName(asking).groupBy("key", "block", "turn").agg(F.any_value("tree", ignoreNulls=True).alias("left"), F.collect_list("other").alias("others"))
-    met = met.where("left is not null and size(others) > 0")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flip = lambda block: [v & 0xFFFFFFFFFFFFFFFF for v in block]
-        for batch in batches:
-            found = []
-            for left, others in zip(batch.column("left"), batch.column("others")):
-                others = others.as_py()
-                found += shard_links(flip(left.as_py()), None if others is None else list(map(flip, others)), radius)
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
-    return cold.union(inside).union(met.select("left", "others")).mapInArrow(run, "a long, b long")
+    keyed = distinct_fps.select(F.explode(_keys(F.col("fp"), radius, shard_blocks(n, radius))).alias("key"), F.col("fp").alias("member"))
+    return block_links(keyed, lambda member: member, lambda left, right: shard_links(left, right, radius), block, "shards")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:

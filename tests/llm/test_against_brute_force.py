@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from quern.llm import blocks, components, licenses, mixing, permutation_index, quality, sampling, simhash, substring, toxicity, weak_rules
+from quern.llm import blocks, components, hot, licenses, mixing, permutation_index, quality, sampling, simhash, substring, toxicity, weak_rules
 from quern.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,47 @@ def test_links_with_hot_shards(spark):
     assert groups(root) == groups(comp)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_links_in_blocks(spark, seed):
+    """Groups of all sizes with one, several or no large component: components equal those of all pairs, and what is compared stays near linear."""
+    rng = np.random.default_rng(seed)
+    rows, compared = [], spark.sparkContext.accumulator(0)
+    for key, (n, kinds) in enumerate([(3, 2), (40, 1), (90, 3), (60, 60), (200, 2), (1, 1)]):
+        rows += [(key, 1000 * key + int(i), float(rng.integers(0, kinds)) * 10 + (rng.random() if i % 11 else 500.0 + i)) for i in range(n)]
+    near = lambda x, y: abs(x["at"] - y["at"]) < 1.5
+
+    def search(left, right):
+        compared.add(len(left) * len(left if right is None else right))
+        return [(x["node"], y["node"]) for x in left for y in (left if right is None else right) if x["node"] != y["node"] and near(x, y)]
+
+    members = spark.createDataFrame(rows, "key int, node long, at double").selectExpr("key", "struct(node, at) as member").repartition(5)
+    found = components.components(hot.block_links(members, lambda m: m["node"], search, 16, "test")).collect()
+    root = {n: n for _, n, _ in rows} | {r["node"]: r["root"] for r in found}
+    comp = {n: n for _, n, _ in rows}
+    for _ in range(3):
+        for (k, a, x), (j, b, y) in combinations(rows, 2):
+            if k == j and abs(x - y) < 1.5 and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = {i: low if c == high else c for i, c in comp.items()}
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+    assert groups(root) == groups(comp)
+
+
+def test_a_group_of_copies_is_compared_in_proportion_to_its_size(spark):
+    work = []
+    for n in (400, 800):
+        compared = spark.sparkContext.accumulator(0)
+
+        def search(left, right):
+            compared.add(len(left) * len(left if right is None else right))
+            return [(x, (left if right is None else right)[0]) for x in left]
+
+        members = spark.createDataFrame([(1, i) for i in range(n)], "key int, member long")
+        assert components.components(hot.block_links(members, lambda m: m, search, 20, "test")).count() == n - 1
+        work.append(compared.value)
+    assert work[1] < 2.5 * work[0]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 255), max_size=60), st.integers(0, 255), st.integers(0, 8))
 def test_bk_tree(items, x, radius):

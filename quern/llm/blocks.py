@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import give_back
+
 #: Bytes of text in a batch, and of text for each hash partition.
 BATCH_BYTES, PARTITION_BYTES = 4 << 20, 4 << 20
 #: The column that deals documents to batches; it stands beside the struct of a document's own columns.
@@ -219,6 +221,7 @@ def exchange(docs: DataFrame, bits: int, ask: Callable[[pa.Table], tuple[np.ndar
     width = RELAY_KEY_BYTES if zoned else KEY_BYTES
 
     def send(x: pa.Table) -> pa.Table:
+        give_back()
         keys, vals = ask(rows_of(x))
         return requests(x.column(BATCH)[0].as_py(), keys, vals, zoned or bits, join.sent[0], width)
 
@@ -240,6 +243,7 @@ def exchange(docs: DataFrame, bits: int, ask: Callable[[pa.Table], tuple[np.ndar
         return _answers(left, join.answer(ids, values, askers, _joined(right, join.answered[1])), cuts, join.answered[0])
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         return finish(rows_of(left), _joined(right, join.answered[1]))
 
     asked = docs.groupBy(BATCH).applyInArrow(send, REQUEST_SQL)

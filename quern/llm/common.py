@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.session import forget, shared_dir, written
 
-__all__ = ["WORD", "doc_texts", "forget", "n_words", "shared_dir", "table", "written"]
+__all__ = ["WORD", "doc_texts", "forget", "give_back", "n_words", "shared_dir", "table", "written"]
 
 #: Words are maximal runs of anything but space and the controls 9-13 (Java and RE2 regex).
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -25,3 +28,12 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 def n_words(text):
     """Native word count; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and an executor's limit counts them all."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only glibc has it
+        pass

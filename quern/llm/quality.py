@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_texts, written
+from quern.llm.common import doc_texts, forget, written
 
 STATISTICS = (
     "log_words", "log_bytes", "word_length", "long_words", "short_words", "distinct_words", "top_word",
@@ -66,15 +66,16 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array<double>) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("stats", pa.list_(pa.float64()))])
+def document_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, stats array<double>) of every document, and the columns (double) named besides."""
+    schema = pa.schema([("doc_id", pa.int64()), ("stats", pa.list_(pa.float64())), *((c, pa.float64()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([statistics(t.as_py()) for t in x.column("text")], type=schema.field(1).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([statistics(t.as_py()) for t in x.column("text")], type=schema.field(1).type), *map(x.column, more)], schema=schema)
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, stats array<double>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return own.mapInArrow(run, ", ".join(["doc_id long", "stats array<double>", *(f"{c} double" for c in more)]))
 
 
 class FourierMap:
@@ -147,17 +148,13 @@ class QualityModel:
         return np.clip(np.interp(raw, self.xs, self.ys) * (1 - 1e-3) + 1e-3 * np.clip(raw, 0, 1), 0, 1)
 
 
-def fit(train: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> QualityModel | None:
+def fit(train: DataFrame) -> QualityModel | None:
     """Fit on rows (doc_id, stats, y in {0, 1}); None if there are none.
 
-    At most about max_rows rows are used, those with the lowest hash of doc_id. With no row for
-    calibration, the ridge's own rows calibrate.
+    With no row for calibration, the ridge's own rows calibrate.
     """
-    n = train.count()
-    if not n:
+    if train.isEmpty():
         return None
-    if n > max_rows:
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
     train = train.withColumn("fold", _fold())
     k = len(STATISTICS)
     moments = train.agg(*(F.avg(F.col("stats")[i]) for i in range(k)), *(F.stddev_pop(F.col("stats")[i]) for i in range(k))).first()
@@ -203,23 +200,34 @@ def _fold():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
 
 
-def _model(stats: DataFrame, labels: DataFrame, max_rows: int) -> QualityModel | None:
+def training_labels(labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, y) of the labels that may be learnt from: not held out, 0 or 1, each once; beyond max_rows about
+    as many, those with the lowest hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    known = known.where(F.col("y").isin(0.0, 1.0) & (_fold() != HELD_OUT))
-    return fit(written(known.join(stats, "doc_id").select("doc_id", "stats", "y"), "train"), max_rows)
+    known = known.where(F.col("y").isin(0.0, 1.0) & (_fold() != HELD_OUT)).distinct()
+    n = known.count()
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n)) if n > max_rows else known
+
+
+def _fitted(train: DataFrame) -> QualityModel | None:
+    train = written(train, "train")
+    model = fit(train)
+    forget(train)
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7, else 0).
 
     Labels of held-out documents (crc32 of the doc_id's text modulo 4 is 2) are never read. Labels that
-    are null or neither 0 nor 1 are ignored, repeated ones count again. Null and empty texts are scored
+    are null or neither 0 nor 1 are ignored, repeated ones count once. Null and empty texts are scored
     from all-zero statistics. A null doc_id is scored, never trained on and not held out. An empty table
     gives no rows; without any label every score is 0.5. Other columns are ignored.
     """
     stats = written(document_statistics(docs), "statistics")
+    model = _fitted(training_labels(labels, max_rows).join(stats, "doc_id").select("doc_id", "stats", "y"))
     held_out = F.coalesce(_fold() == HELD_OUT, F.lit(False))
-    return scores(stats, _model(stats, labels, max_rows)).select(
+    return scores(stats, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
@@ -227,9 +235,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The rows of docs whose score reaches the threshold, all columns kept, in one pass without a shuffle.
 
-    The model is fitted as in quality_scores; without any label every row stays.
+    The model is fitted as in quality_scores, from the statistics of the labelled texts alone: their labels
+    are broadcast (at most about max_rows), so no text is shuffled. Without any label every row stays.
     """
-    model = _model(written(document_statistics(docs), "statistics"), labels, max_rows)
+    known = F.broadcast(training_labels(labels, max_rows))
+    model = _fitted(document_statistics(doc_texts(docs).join(known, "doc_id"), "y"))
     if model is None:
         return docs
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.blocks import mixed64, powers
-from quern.llm.common import doc_texts
+from quern.llm.common import doc_texts, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 6
@@ -38,9 +38,9 @@ MOST_COPIES = 8
 #: Piece scores follow Zipf's law in the vocabulary's own order: -POWER * log(rank + SHIFT).
 POWER, SHIFT = 1.0, 10.0
 #: Characters of text whose lattices a worker holds at once (a longer text is taken alone).
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 200_000
 #: Nodes of the lattices that a worker keeps between its batches (some 100 bytes each); beyond, it starts anew.
-MAX_NODES = 1_500_000
+MAX_NODES = 400_000
 SPACE = "▁"
 #: What a piece of the vocabulary may be: a unit, or a part of one.
 _UNIT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -604,6 +604,8 @@ def encode(docs: DataFrame, model_file: str = MODEL, samples: int = SAMPLES, see
                     held, chars = [], 0
         if held:
             yield from encoder.encoded(held)
+        del encoder
+        give_back()
 
     return rows.mapInArrow(run, ENCODED)
 

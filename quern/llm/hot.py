@@ -41,7 +41,8 @@ def block_links(members: DataFrame, node: Callable[[Column], Column], search: Ca
     hot = members.groupBy("key").agg(F.ceil(F.sum(weight(F.col("member"))) / block).cast("int").alias("nb")).where("nb > 1")
     dealt = members.join(hot, "key", "left").select("key", "member", F.coalesce("nb", F.lit(1)).alias("nb"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(node(F.col("member")), F.lit(7)), F.col("nb")).cast("int"))
-    groups = dealt.groupBy("key", "nb", "block").agg(F.collect_list("member").alias("left"))
+    # Dealt by block: a partitioning by key alone would do for the grouping, and bring a whole group to one task.
+    groups = dealt.repartition("key", "block").groupBy("key", "nb", "block").agg(F.collect_list("member").alias("left"))
     none = F.lit(None).cast(groups.schema["left"].dataType).alias("right")
     groups = written(groups.where("nb > 1 or size(left) > 1"), f"{name}-groups")
     cold = searched(groups.where("nb = 1").select("left", none))
@@ -60,6 +61,7 @@ def block_links(members: DataFrame, node: Callable[[Column], Column], search: Ca
     others = label.join(largest, "key").where("label != largest").select("key", "node")
     left_over = member.join(others, ["key", "node"])
     left_over = left_over.join(left_over.groupBy("key").agg(F.ceil(F.sum(weight(F.col("member"))) / block).cast("int").alias("sb")), "key")
-    left_over = left_over.groupBy("key", "nb", F.pmod(F.xxhash64("node", F.lit(8)), F.col("sb")).alias("part")).agg(F.collect_list("member").alias("right"))
+    left_over = left_over.withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.col("sb"))).repartition("key", "part")
+    left_over = left_over.groupBy("key", "nb", "part").agg(F.collect_list("member").alias("right"))
     again = left_over.select("key", "right", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"))
     return cold.union(first).union(searched(many.join(again, ["key", "block"])))

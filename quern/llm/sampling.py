@@ -358,9 +358,11 @@ def _descend(lat: Lattices, doc: np.ndarray, unit: np.ndarray, node: np.ndarray,
     order = np.argsort(rows, kind="stable")  # within a row, steps came in order
     rows, at, edges = rows[order], at[order], edges[order]
     d, logp = doc[rows], lat.logp[edges]
-    run = np.cumsum(logp)
-    cuts = np.searchsorted(d, np.arange(docs))
-    phi = run - np.concatenate([[0.0], run])[cuts][d] + start_phi[d]
+    cuts = np.searchsorted(d, np.arange(docs + 1))
+    phi = np.empty(len(logp))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):  # each document on its own: the same to the last bit in any batch
+        np.cumsum(logp[a:b], out=phi[a:b])
+        phi[a:b] += start_phi[k]
     prefix = phi - logp
 
     def bounds(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -108,3 +108,12 @@ def test_parse_errors_fall_back():
 def test_index_reads_its_own_terms(index):
     plan = index.read_postings([Q.Leaf("content", ("ship",))])._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,ship)]" in plan
+
+
+def test_a_ranked_query_reads_nothing_but_postings(index):
+    m = index.measure(None, Q.parse("content:quiet filename:guide", ("content",)))
+    plan = m.rows._jdf.queryExecution().toString()
+    assert "/postings" in plan and "/docs" not in plan and m.keys is not None
+    joined = index.measure(None, Q.parse("content:quiet AND size:[1 TO 100]", ("content",)))
+    scans = [x for x in joined.rows._jdf.queryExecution().executedPlan().toString().split("\n") if "/docs" in x]
+    assert joined.keys is None and scans and all("ReadSchema" in x and "text:string" not in x for x in scans)

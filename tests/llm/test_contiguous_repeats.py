@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quern.llm import blocks, substring
 
@@ -45,3 +46,24 @@ def test_passages_go_whole(spark):
     text = dict(rows)
     shared = set(pieces(text[301])) & set(pieces(text[302]))
     assert len(got[302]["spans"]) == 1 and got[302]["removed_chunks"] == len(shared)
+
+
+@pytest.mark.parametrize("documents", [500, 2000, 6000])
+def test_texts_that_share_no_window_stay_whole_at_any_size(spark, documents):
+    """A language of 400 words in which every chunk soon has been seen, but no 18 words twice in a row."""
+    rng = np.random.default_rng(documents)
+    vocabulary = np.array(words(rng, 400))
+    follows = rng.integers(0, 400, (400, 6))
+    at, steps = rng.integers(0, 400, documents), []
+    for _ in range(400):
+        steps.append(at)
+        at = follows[at, (rng.random(documents) ** 2 * 6).astype(int)]
+    ids = np.stack(steps, axis=1)
+    key = np.zeros((documents, 400 - 17), np.uint64)
+    for k in range(18):
+        key = key * np.uint64(1_000_003) + ids[:, k : k + 400 - 17].astype(np.uint64) + np.uint64(1)
+    _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = (times[which.reshape(key.shape)] > 1).any(1)
+    docs = spark.createDataFrame([(i, " ".join(vocabulary[x])) for i, x in enumerate(ids)], "doc_id long, text string")
+    got = {r["doc_id"] for r in substring.repeated_spans(docs).where("has_repeats").collect()}
+    assert got <= set(np.flatnonzero(shared).tolist()) and shared.mean() < 0.1

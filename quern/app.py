@@ -109,3 +109,4 @@ def main(arguments: list[str] | None = None) -> None:
         pass
     finally:
         app.close()
+        app.spark.stop()

@@ -144,8 +144,8 @@ class _Reader(DataSourceReader):
 class _Events(SimpleDataSourceStreamReader):
     """Polls the tree and emits the differences from the last poll as the events a watcher would give.
 
-    A file or directory that keeps its inode under another path is renamed; of a new directory one event
-    names it and the files in it, of a removed one the directory alone. A tree that can't be listed asks for a
+    A file that keeps its inode and time under another path is renamed; of a new directory one event names
+    it and the files in it, of a removed one the directory alone. A tree that can't be listed asks for a
     rescan. What a poll saw is kept in a file of `statedir`; offsets only name it.
     """
 
@@ -188,8 +188,9 @@ class _Events(SimpleDataSourceStreamReader):
         inside = lambda p, dirs: any(p.startswith(d + "/") for d in dirs)
         tops = lambda dirs: [d for d in dirs if not inside(d, dirs)]
         gone, new = sorted(was.keys() - now.keys()), sorted(now.keys() - was.keys())
-        by_inode = {tuple(was[p][:2]): p for p in gone}
-        moved = {p: old for p in new if (old := by_inode.get(tuple(now[p][:2]))) is not None and not now[p][1]}
+        # A renamed file keeps its inode and time; an inode alone may have been given to a new file.
+        by_inode = {tuple(was[p]): p for p in gone}
+        moved = {p: old for p in new if (old := by_inode.get(tuple(now[p]))) is not None and not now[p][1]}
         gone_dirs, new_dirs = tops([p for p in gone if was[p][1]]), tops([p for p in new if now[p][1]])
         out: list[tuple[str, list[str], bool]] = [("RemoveFolder", [d], True) for d in gone_dirs]
         out += [("RenameBoth", [old, p], False) for p, old in moved.items()]

@@ -27,6 +27,10 @@ GLYPHS = {
 }
 
 
+#: The plain values of page streams: a string without marks, a number, a name, an operator.
+_PLAIN = re.compile(rb"[ \t\r\n\x0c\x00]*(?:\(([^()\\\r]*)\)|([+-]?(?:\d+\.?\d*|\.\d+))(?=[\s()<>\[\]{}/%]|$)|/([^\s\x00()<>\[\]{}/%#]+)|([A-Za-z'\"][A-Za-z0-9*'\"]*)(?=[\s()<>\[\]{}/%]|$))")
+
+
 class PdfError(ValueError):
     pass
 
@@ -322,7 +326,22 @@ def page_lines(doc: Document, page: dict, resources: dict) -> list[tuple[float,
         row += font.text(raw) if font else raw.decode("cp1252", "replace")
 
     moved = [False]
-    while (v := reader.value()) is not None:
+    while True:
+        # Most values are plain and found by one match; the reader takes the others.
+        if m := _PLAIN.match(body, reader.at):
+            kind, reader.at = m.lastindex, m.end()
+            if kind == 1:
+                held.append(m[1])
+                continue
+            if kind == 2:
+                held.append(float(m[2]))
+                continue
+            if kind == 3:
+                held.append(Name(m[3].decode("latin-1")))
+                continue
+            v = Operator(m[4])
+        elif (v := reader.value()) is None:
+            break
         if not isinstance(v, Operator):
             held.append(v)
             continue

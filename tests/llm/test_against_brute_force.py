@@ -139,7 +139,12 @@ def test_shard_keys_hold_every_link():
         assert 5 <= b <= 8
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot_node", [0, 3, 1000])
+def test_components(spark, monkeypatch, hot_node):
+    monkeypatch.setattr(components, "HOT_NODE", hot_node)
+    stars = [(1000, i) for i in range(900, 940)] + [(2000, i) for i in range(2001, 2040)] + [(2039, 930)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: 900 for i in [*range(901, 940), 1000, *range(2000, 2040)]}
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {501: 500, 502: 500}

@@ -273,6 +273,7 @@ class Font:
         unicode = doc.get(info.get("ToUnicode"))
         if isinstance(unicode, Stream):
             self._read(doc.decoded(unicode))
+        self.table = {b: self.map.get(b, bytes([b]).decode("cp1252", "replace")) for b in range(256)}
 
     def _read(self, cmap: bytes) -> None:
         reader, held = Reader(cmap, refs=False), []
@@ -295,7 +296,7 @@ class Font:
     def text(self, raw: bytes) -> str:
         if self.wide:
             return "".join(self.map.get(int.from_bytes(raw[i : i + 2], "big"), "") for i in range(0, len(raw), 2))
-        return "".join(self.map[b] if b in self.map else bytes([b]).decode("cp1252", "replace") for b in raw)
+        return raw.decode("latin-1").translate(self.table)
 
 
 def _glyph(name: str) -> str:

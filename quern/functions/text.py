@@ -79,6 +79,11 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{_BLANKS}+|{_BLANKS}+$", ""), f"{_BLANKS}+", " ")
 
 
+def base64_line(data: Column) -> Column:
+    """Base64 in one line: F.base64 ends a line after 76 characters (spark.sql.chunkBase64String.enabled is true by default)."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def xml_unescape(text: Column) -> Column:
     """The five predefined entities, in one pass: what one replacement makes is not read again."""
     # Split before each ampersand, so every piece holds one entity at most.

@@ -481,7 +481,7 @@ def content_types(spark, sf_dir):
 @query("base64_images", "select page_id, base64(encode(url)) as data from pages")
 def base64_images(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.base64(F.encode("url", "UTF-8")).alias("data"))
+    return pages.select("page_id", text.base64_line(F.encode("url", "UTF-8")).alias("data"))
 
 
 @query("outline_text", _MD.replace("select path, level::int", ", o as (select path, level::int", 1) + r""")

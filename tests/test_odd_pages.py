@@ -16,3 +16,10 @@ def test_base64_of_long_addresses_is_one_line(spark, tmp_path):
     urls = ["https://a.test/" + "x" * n for n in (0, 41, 42, 43, 500)]
     found = e.queries()["base64_images"](spark, pages(spark, tmp_path, [(u, "") for u in urls])).collect()
     assert {r["page_id"]: r["data"] for r in found} == {i: base64.b64encode(u.encode()).decode() for i, u in enumerate(urls)}
+
+
+def test_cut_references_stay_as_written(spark, tmp_path):
+    """A title cut after so many characters can end inside a reference; the page's SQL decodes whole ones only."""
+    html = '<html><body><h1>A&amp;B &lt;c&gt; &copy; d&amp</h1><p>&quot x &ampy &notit; &#65; &#65 &x; & <a href="/?a=1&copy=2&amp;b=3">l</a></p><pre>&lt &lt;</pre></body></html>'
+    rows = e.queries()["html_to_md"](spark, pages(spark, tmp_path, [("u", html)])).collect()
+    assert rows[0]["text"] == "# A&B <c> © d&amp\n\n&quot x &ampy &notit; A &#65 &x; & [l](/?a=1&copy=2&b=3)\n\n```\n&lt <\n```"

@@ -23,3 +23,8 @@ def test_cut_references_stay_as_written(spark, tmp_path):
     html = '<html><body><h1>A&amp;B &lt;c&gt; &copy; d&amp</h1><p>&quot x &ampy &notit; &#65; &#65 &x; & <a href="/?a=1&copy=2&amp;b=3">l</a></p><pre>&lt &lt;</pre></body></html>'
     rows = e.queries()["html_to_md"](spark, pages(spark, tmp_path, [("u", html)])).collect()
     assert rows[0]["text"] == "# A&B <c> © d&amp\n\n&quot x &ampy &notit; A &#65 &x; & [l](/?a=1&copy=2&b=3)\n\n```\n&lt <\n```"
+
+
+def test_outline_of_a_title_cut_inside_a_reference(spark, tmp_path):
+    rows = e.queries()["html_outline"](spark, pages(spark, tmp_path, [("u", "<h1>a &amp; b&amp</h1><p>c</p>")])).collect()
+    assert [(r["level"], r["text"]) for r in rows] == [(1, "a & b&amp")]

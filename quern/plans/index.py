@@ -21,13 +21,16 @@ from quern.operators.snapshot import parents, surviving_adds
 from quern.plans import query as Q
 from quern.plans.search import KEYS, Measured, _with_parts
 from quern.schema import DOCS
-from quern.session import delete
+from quern.session import delete, forget, written
 
 FIELDS = {"path": "path", "filename": "filename", "dir": "dir", "content": "text"}
 #: Segments of one size class that are merged; a class spans a factor of as many documents.
 MERGE_AT = 8
 #: Paths and directories of a batch that are looked up by pushed-down filters; more are joined.
 FEW_PATHS, FEW_DIRS = 1_000, 50
+#: Bytes of text, and documents, that one sorted partition of a segment holds: its documents, or its postings (about eight times the text in memory).
+#: So a sort stays in memory whatever the index's size, and the number of partitions follows the index, not the session's settings.
+DOC_BYTES, POSTING_BYTES, PART_DOCS = 16 << 20, 8 << 20, 50_000
 #: Manifests whose files are kept for readers that still hold them.
 KEEP = 2
 
@@ -45,11 +48,21 @@ def term_lists(words: Column) -> Column:
     return F.when(F.size(words) > 0, bound(pairs, grouped)).otherwise(F.array().cast("array<struct<term:string,positions:array<int>>>"))
 
 
+def term_table(docs: DataFrame) -> DataFrame:
+    """path and, for each text field, the number of its tokens with the list of distinct ones: all that an index needs of a text, tokenised once."""
+    one = lambda c: bound(tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(F.size(w).alias("dl"), term_lists(w).alias("terms")))
+    return docs.select("path", *(one(c).alias(f"w_{f}") for f, c in FIELDS.items()))
+
+
+def _postings(lists: DataFrame) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"w_{f}").alias("w")) for f in FIELDS))).alias("e")
+    rows = lists.select("path", each).select("path", "e.field", "e.w.dl", F.explode("e.w.terms").alias("t"))
+    return rows.select("field", "t.term", "path", "dl", "t.positions")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(field, term, path, dl, positions) for every distinct token of every text field; dl: tokens of the field. No shuffle."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("w")) for f, c in FIELDS.items()))).alias("e")
-    rows = docs.select("path", each).select("path", "e.field", F.size("e.w").alias("dl"), F.explode(term_lists(F.col("e.w"))).alias("t"))
-    return rows.select("field", "t.term", "path", "dl", "t.positions")
+    return _postings(term_table(docs))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -65,6 +78,7 @@ def term_stats(docs: DataFrame, field: str = "content") -> DataFrame:
 
 _SCHEMAS = {
     "docs": DOCS,
+    "fresh": DOCS,
     "postings": T.StructType([T.StructField("term", T.StringType()), T.StructField("path", T.StringType()), T.StructField("dl", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("field", T.StringType())]),
     "lengths": T.StructType([T.StructField("path", T.StringType()), *(T.StructField(f"dl_{f}", T.IntegerType()) for f in FIELDS)]),
 }
@@ -187,17 +201,22 @@ class IndexStore:
                 rows = self.live("lengths", m)
                 above = rows.select("path", F.explode(parents(F.col("path"))).alias("above")).join(dirs.withColumnRenamed("path", "above"), "above", "left_semi").select("path")
                 removed = rows.join(named.union(above).distinct(), "path", "left_semi")
-            return self._write(fresh.join(surviving_adds(changes).select("path"), "path", "left_semi"), removed)
+            # Written, so that its size is known before the join: few paths are broadcast, and no text is shuffled for none or few.
+            adds = written(surviving_adds(changes).select("path"), "adds")
+            try:
+                return self._write(fresh.limit(0) if adds.isEmpty() else fresh.join(adds, "path", "left_semi"), removed)
+            finally:
+                forget(adds)
 
     def _write(self, docs: DataFrame, removed: DataFrame | None) -> bool:
         with self._lock:
             m = self.manifest()
             m.number += 1
             seg, gone = f"{self.root}/seg-{m.number:08d}", f"{self.root}/gone-{m.number:08d}"
-            docs.select(*DOCS.fieldNames()).sort("path").write.mode("overwrite").parquet(f"{seg}/docs")
-            stored = self._segment(m.number, "docs")
-            self._write_postings(postings(stored), seg)
-            lengths(stored).write.mode("overwrite").parquet(f"{seg}/lengths")
+            # Written as it comes: what follows reads it several times, and converting files is dear.
+            docs.select(*DOCS.fieldNames()).write.mode("overwrite").parquet(f"{seg}/fresh")
+            self._write_tables(self._segment(m.number, "fresh"), None, seg)
+            delete(self.spark, f"{seg}/fresh")
             totals = [F.count("*").alias("n"), *(F.coalesce(F.sum(f"dl_{f}"), F.lit(0)).alias(f) for f in FIELDS)]
             new, old = self._segment(m.number, "lengths").agg(*totals).first(), None
             if removed is not None and m.segments:
@@ -218,9 +237,28 @@ class IndexStore:
             return True
 
     @staticmethod
-    def _write_postings(rows: DataFrame, seg: str) -> None:
-        made = rows.repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term", "path")
-        made.write.mode("overwrite").partitionBy("field").parquet(f"{seg}/postings")
+    def _parts(docs: DataFrame) -> tuple[int, int]:
+        """Partitions that docs, and their postings, are sorted in."""
+        n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        few = min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20)  # so that all cores have work, but none less than 1 MB
+        return tuple(max(1 + size // most, 1 + n // PART_DOCS, few) for most in (DOC_BYTES, POSTING_BYTES))
+
+    def _write_tables(self, docs: DataFrame, made: tuple[DataFrame, DataFrame] | None, seg: str) -> None:
+        """Documents, postings and lengths of a segment; made: the latter two, where they are there already."""
+        parts, finer = self._parts(docs)
+        docs.repartitionByRange(parts, "path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{seg}/docs")
+        # The range sort reads its rows twice, for bounds and for itself, so what tokenising gives is written once.
+        lists = f"{seg}/lists"
+        if made is None:
+            found = term_table(self.spark.read.schema(DOCS).parquet(f"{seg}/docs"))
+            found.write.mode("overwrite").option("compression", "zstd").parquet(lists)
+            found = self.spark.read.schema(found.schema).parquet(lists)
+            made = _postings(found), found.select("path", *(F.col(f"w_{f}.dl").alias(f"dl_{f}") for f in FIELDS))
+        rows, own = made
+        rows = rows.repartitionByRange(finer, "field", "term", "path").sortWithinPartitions("field", "term", "path")
+        rows.write.mode("overwrite").partitionBy("field").parquet(f"{seg}/postings")
+        own.repartitionByRange(1 + parts // 8, "path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{seg}/lengths")
+        delete(self.spark, lists)
 
     def _merge(self, m: Manifest) -> None:
         """Merge segments as long as some size class has MERGE_AT of them."""
@@ -235,9 +273,7 @@ class IndexStore:
             before = Manifest(**json.loads(json.dumps(m.__dict__)))
             m.number += 1
             seg = f"{self.root}/seg-{m.number:08d}"
-            self.live("docs", before, only=many).sort("path").write.mode("overwrite").parquet(f"{seg}/docs")
-            self._write_postings(self.live("postings", before, only=many), seg)
-            self.live("lengths", before, only=many).sort("path").write.mode("overwrite").parquet(f"{seg}/lengths")
+            self._write_tables(self.live("docs", before, only=many), (self.live("postings", before, only=many), self.live("lengths", before, only=many)), seg)
             left = [s for s in m.segments if s[0] not in many]
             m.segments = left + [[m.number, self._segment(m.number, "lengths").count()]]
             m.gone = [g for g in m.gone if any(n < g for n, _ in left)]

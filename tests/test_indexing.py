@@ -461,3 +461,35 @@ def test_byte_cuts():
     assert [serve.cut_bytes("aé😀", n) for n in range(8)] == ["", "a", "a", "aé", "aé", "aé", "aé", "aé😀"]
     assert serve.with_dots("x" * 201) == "x" * 200 + "..." and SearchParams().limit == 50
     assert F is not None
+
+
+def corpus_of(spark, n, text):
+    docs = spark.range(n).select(F.format_string("d/%05d.txt", "id").alias("path"), F.format_string("%05d.txt", "id").alias("filename"), F.lit("d").alias("dir"), text.alias("text"))
+    return docs.select("*", F.lit(1).cast("long").alias("size"), F.timestamp_seconds(F.lit(0)).alias("modified"), F.lit(0).cast("long").alias("modified_ns"), F.lit("txt").alias("extension"), F.lit(True).alias("has_content"))
+
+
+def test_sorted_partitions_follow_the_index(spark, tmp_path):
+    """Twice the text takes more partitions, whatever the session's settings: no sort grows with the index."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000)), lambda k: F.concat(F.lit("w"), (k * 7 + F.col("id")).cast("string"))), " ")
+    files = {}
+    for n in (2_000, 6_000):
+        IndexStore.build(corpus_of(spark, n, words), f"{tmp_path}/{n}")
+        files[n] = {t: len(list((tmp_path / str(n)).glob(f"seg-*/{t}/*.parquet"))) for t in ("docs", "postings/field=content")}
+    assert files[6_000]["postings/field=content"] >= 5 and files[6_000]["postings/field=content"] > files[2_000]["postings/field=content"]
+
+
+def test_removals_shuffle_no_text(spark, tmp_path, monkeypatch):
+    """A batch that adds nothing, or little, does not send the texts that it could take from."""
+    docs = corpus_of(spark, 2_000, F.repeat(F.sha2(F.col("id").cast("string"), 512), 20))
+    docs.write.parquet(f"{tmp_path}/docs")
+    fresh = spark.read.parquet(f"{tmp_path}/docs")
+    store = IndexStore.build(docs.where("path < 'd/00010'"), f"{tmp_path}/i")
+    plans, write = [], IndexStore._write
+    monkeypatch.setattr(IndexStore, "_write", lambda self, d, removed: (plans.append(d._jdf.queryExecution().executedPlan().toString()), write(self, d, removed))[1])
+    schema = "seq long, kind string, path string"
+    changed = [(1, "Deleted", "d/00001.txt"), (2, "Modified", "d/00002.txt"), (3, "Deleted", "d/00002.txt"), (4, "Modified", "d/00500.txt")]
+    for k, rows in enumerate((changed[:3], changed[3:])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/changes-{k}")
+        store.apply(spark.read.parquet(f"{tmp_path}/changes-{k}"), fresh)
+    assert "Scan parquet" not in plans[0] and "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+    assert sorted(r[0] for r in store.docs.select("path").collect()) == [f"d/{i:05d}.txt" for i in [0, *range(3, 10), 500]]

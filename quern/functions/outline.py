@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
+from quern.functions.batches import by_rows
 from quern.functions.text import bound, lines
 from quern.schema import OUTLINE
 
@@ -146,11 +148,14 @@ def rust_headings(text: str) -> list[dict]:
     return _ranged(found, len(rows))
 
 
-@F.pandas_udf(OUTLINE)
-def python_outline(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: python_headings(t or ""))
+_OUTLINE = to_arrow_type(OUTLINE)
 
 
-@F.pandas_udf(OUTLINE)
-def rust_outline(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: rust_headings(t or ""))
+@F.arrow_udf(OUTLINE)
+def python_outline(text: pa.Array) -> pa.Array:
+    return by_rows(lambda t: python_headings(t or ""), _OUTLINE, text)
+
+
+@F.arrow_udf(OUTLINE)
+def rust_outline(text: pa.Array) -> pa.Array:
+    return by_rows(lambda t: rust_headings(t or ""), _OUTLINE, text)
